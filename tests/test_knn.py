@@ -1,0 +1,91 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from phrasemill.operators.knn import KNNClassifier, grid_votes, neighbours
+
+
+def fixture(n, dim, seed, copies=0.0):
+    """Rows with some identical vectors, so that there are ties and zero distances."""
+    rng = np.random.default_rng(seed)
+    vec = rng.normal(size=(n, dim)).round(2)
+    vec[: int(n * copies)] = vec[0]
+    return [(i, int(rng.integers(0, 3)), i % 4, [float(x) for x in v]) for i, v in enumerate(vec)]
+
+
+def by_hand(queries, train, k, p, apart=False):
+    out = {}
+    for qid, _, qf, q in queries:
+        near = []
+        for tid, label, tf, t in train:
+            if not apart or tf != qf:
+                d = sum(abs(a - b) ** p for a, b in zip(q, t)) ** (1 / p)
+                near.append((round(d, 9), tid, label))
+        out[qid] = sorted(near)[:k]
+    return out
+
+
+SCHEMA = "row_id long, label int, fold int, vec array<double>"
+
+
+@pytest.mark.parametrize("p", [1, 2, 3, 2.5])
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("cells", [False, True])
+def test_neighbours(spark, p, apart, cells):
+    rows = fixture(150, 3, 7, copies=0.3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    how = {"budget": 0, "block_rows": 16, "pivots": 12} if cells else {}
+    got = neighbours(df, df, 9, p, "fold" if apart else None, **how).collect()
+    want = by_hand(rows, rows, 9, p, apart)
+    assert len(got) == len(rows)
+    for r in got:
+        assert [(n.row_id, n.label) for n in r.neighbours] == [(i, c) for _, i, c in want[r.row_id]]
+        assert np.allclose([n.distance for n in r.neighbours], [d for d, _, _ in want[r.row_id]], atol=1e-8)
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_fewer_rows_than_k(spark, cells):
+    rows = fixture(6, 2, 3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    how = {"budget": 0, "block_rows": 2, "pivots": 3} if cells else {}
+    assert all(len(r.neighbours) == 6 for r in neighbours(df, df, 50, 2, **how).collect())
+
+
+def test_cells_prune(spark):
+    """Far apart clusters: both ways agree when most cells are skipped."""
+    rng = np.random.default_rng(1)
+    vec = np.concatenate([rng.normal(c * 100, 1, size=(60, 2)) for c in range(5)]).round(3)
+    df = spark.createDataFrame([(i, i // 60, 0, [float(x) for x in v]) for i, v in enumerate(vec)], SCHEMA)
+    a = neighbours(df, df, 5, 2).orderBy("row_id").collect()
+    b = neighbours(df, df, 5, 2, budget=0, block_rows=10, pivots=20).orderBy("row_id").collect()
+    assert [r.neighbours for r in a] == [r.neighbours for r in b]
+
+
+def test_votes(spark):
+    train = spark.createDataFrame([(1, 0, 0, [0.0]), (2, 1, 0, [1.0]), (3, 1, 0, [4.0])], SCHEMA)
+    at = spark.createDataFrame([(10, [0.0]), (11, [2.0]), (12, [0.5])], "row_id long, vec array<double>")
+
+    def run(**kw):
+        got = KNNClassifier(**kw).fit(train).transform(at).collect()
+        return {r.row_id: (r.prediction, [round(x, 6) for x in r.probability]) for r in got}
+
+    # A zero distance outvotes the rest; a tie goes to the lower label.
+    assert run(n_neighbors=3, weights="distance")[10] == (0, [1.0, 0.0])
+    assert run(n_neighbors=3)[10] == (1, [0.333333, 0.666667])
+    assert run(n_neighbors=2)[12] == (0, [0.5, 0.5])
+    assert run(n_neighbors=3, weights="distance")[11] == (1, [0.25, 0.75])
+    with pytest.raises(ValueError):
+        run(weights="other")
+
+
+def test_grid_votes_agree_with_single_models(spark):
+    rows = fixture(80, 3, 11, copies=0.2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    ks, ws = [1, 2, 5, 12], ["uniform", "distance"]
+    found = neighbours(df, df, max(ks), 1, "fold")
+    grid = {(r.row_id, r.n_neighbors, r.weights): r.prediction
+            for r in grid_votes(found, ["row_id"], ks, ws).collect()}
+    for k in ks:
+        for w in ws:
+            for r in KNNClassifier(k, w, 1).fit(df).transform(df, "fold").collect():
+                assert grid[(r.row_id, k, w)] == r.prediction
