@@ -7,6 +7,7 @@ built-in function.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -26,29 +27,36 @@ DROPPED_PREFIXES = ["@", "&", "http", "www"]
 SPACE = r"[ \t\n\x0B\f\r]"
 _MARKER = "|".join(MARKERS)
 # A dropped token runs up to white space or up to the next marker. "&" counts only at a token's start.
-_DROPPED = rf"(?:http|www|@|(?<!\S)&)(?:(?!{_MARKER})\S)*"
+_DROPPED = rf"(?:http|www|@|(?<!\S)&)(?:(?!{_MARKER})\S)*+"
 _SMALL = "0*(?:1?[0-9]|2[01])"
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.
 
-    ``lower`` would turn two non-ASCII letters into ASCII ones (U+212A, U+0130);
-    they become "_" first, a symbol like every other non-ASCII letter.
+    ``lower`` would turn two non-ASCII letters into ASCII ones (Kelvin sign and
+    dotted I); they become "_" first, a symbol like every other non-ASCII letter.
     """
-    return F.lower(F.regexp_replace(text, "[Kİ]", "_"))
+    has_either = text.contains("K") | text.contains("İ")
+    return F.when(has_either, F.lower(F.regexp_replace(text, "[Kİ]", "_"))).otherwise(F.lower(text))
 
 
 def drop_marked(text: Column) -> Column:
     """Remove mentions, entities and links from lower-case text."""
-    return F.regexp_replace(text, _DROPPED, " ")
+    has_any = text.contains("http") | text.contains("www") | text.contains("@") | text.contains("&")
+    return F.when(has_any, F.regexp_replace(text, _DROPPED, " ")).otherwise(text)
 
 
 def number_words(words: Column) -> Column:
     """Replace whole-number tokens up to 21 by their English names."""
     names = F.array(*[F.lit(n) for n in SMALL_NUMBERS])
-    return F.transform(
-        words, lambda w: F.when(w.rlike(f"^{_SMALL}$"), F.get(names, w.cast("int"))).otherwise(w))
+    return F.transform(words, lambda w: F.when(
+        (w < ":") & w.rlike(f"^{_SMALL}$"), F.get(names, w.cast("int"))).otherwise(w))
 
 
 def words_of(text: Column) -> Column:
@@ -56,15 +64,15 @@ def words_of(text: Column) -> Column:
 
     The order of the steps matters: lower-case, split at markers, drop marked
     tokens, turn symbols into spaces, name small numbers. Splitting at markers
-    and dropping are one regular expression.
+    and dropping are one regular expression; texts without a marker or a small
+    number skip those steps.
     """
-    plain = F.trim(F.regexp_replace(drop_marked(ascii_lower(text)), "[^a-z0-9]+", " "))
-    words = F.split(plain, " ")
-    has_small = plain.rlike(f"(?<![a-z0-9]){_SMALL}(?![a-z0-9])")
-    # Few texts hold a small number; the others skip the per-word step.
-    return (F.when(plain == "", F.array().cast("array<string>"))
-            .when(has_small, number_words(words))
-            .otherwise(words))
+    def split(plain: Column) -> Column:
+        has_small = plain.rlike("[0-9]") & plain.rlike(f"(?<![a-z0-9]){_SMALL}(?![a-z0-9])")
+        return _bind(F.array_remove(F.split(plain, "[^a-z0-9]+"), ""),
+                     lambda words: F.when(has_small, number_words(words)).otherwise(words))
+
+    return _bind(ascii_lower(text), lambda low: _bind(drop_marked(low), split))
 
 
 def raw_tokens(text: Column) -> Column:

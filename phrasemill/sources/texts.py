@@ -19,8 +19,14 @@ def _rest(line: Column) -> Column:
 
 
 def tokenised(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by its ``words``; texts without a word are dropped."""
-    return texts.withColumn("words", words_of(F.col(text))).drop(text).where(F.size("words") > 0)
+    """Replace the text by its ``words``; texts without a word are dropped.
+
+    Written as a generator of one or no row: a filter on ``words`` would be
+    pushed below the projection and tokenise every text twice.
+    """
+    rest = [c for c in texts.columns if c != text]
+    one = F.transform(F.array(words_of(F.col(text))), lambda w: F.struct(w.alias("words")))
+    return texts.select(*rest, F.inline(F.filter(one, lambda r: F.size(r["words"]) > 0)))
 
 
 def parse_labelled(lines: DataFrame, line: str = "value") -> DataFrame:
