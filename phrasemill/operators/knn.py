@@ -16,10 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from phrasemill.functions.vectors import normalise
-from phrasemill.session import fits, written
+from phrasemill.session import fits, spread, written
 
 DIGITS = 9
 BROADCAST_BYTES = 128 << 20
@@ -135,6 +140,9 @@ def _search_broadcast(queries: DataFrame, train: DataFrame, k: int, p: float, ap
     # Bounded by the caller's size check.
     block = queries.sparkSession.sparkContext.broadcast(_Block(train.toArrow(), apart))
     kept = _kept(queries)
+    # Scoring is bound by arithmetic: a short shuffle of the vectors lets all cores take part
+    # where the input came in few partitions.
+    queries = spread(queries, "row_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,28 +273,53 @@ def voted(df: DataFrame, classes: list[int], weights: str) -> DataFrame:
             .withColumn("prediction", F.get(labels, (F.array_position(even, F.array_max(even)) - 1).cast("int"))))
 
 
-class KNNClassifier:
+class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
+    nNeighbors = Param(Params._dummy(), "nNeighbors", "how many neighbours vote", TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
+    p = Param(Params._dummy(), "p", "Minkowski power", TypeConverters.toFloat)
+
+
+def _as_array(df: DataFrame, column: str) -> Column:
+    """The feature column as an array, whether it is one or an ML vector."""
+    if isinstance(df.schema[column].dataType, VectorUDT):
+        return vector_to_array(column)
+    return F.col(column)
+
+
+class KNNClassifier(Estimator, _KNNParams):
     """k nearest neighbours with ``uniform`` or ``distance`` weights and Minkowski power ``p``.
 
-    ``fit`` takes a table with ``row_id``, ``label`` and ``vec``.
+    ``fit`` takes a table with ``row_id``, the label and the features.
     """
 
-    def __init__(self, n_neighbors: int = 5, weights: str = "uniform", p: float = 2):
-        self.n_neighbors, self.weights, self.p = n_neighbors, weights, p
+    def __init__(self, n_neighbors: int = 5, weights: str = "uniform", p: float = 2, *,
+                 featuresCol: str = "vec", labelCol: str = "label"):
+        super().__init__()
+        if weights not in ("uniform", "distance"):
+            raise ValueError(f"unknown weights: {weights}")
+        self._set(nNeighbors=n_neighbors, weights=weights, p=float(p), featuresCol=featuresCol, labelCol=labelCol)
 
-    def fit(self, train: DataFrame) -> "KNNModel":
-        classes = sorted(r["label"] for r in train.select("label").distinct().collect())  # one row per category
-        return KNNModel(self, train, classes)
+    def _fit(self, train: DataFrame) -> "KNNModel":
+        rows = train.select("row_id", *[c for c in train.columns if c in ("fold", "cv_fold")],
+                            F.col(self.getLabelCol()).cast("int").alias("label"),
+                            _as_array(train, self.getFeaturesCol()).alias("vec"))
+        classes = sorted(r["label"] for r in rows.select("label").distinct().collect())  # one row per category
+        return self._copyValues(KNNModel(rows, classes))
 
 
-class KNNModel:
-    def __init__(self, settings: KNNClassifier, train: DataFrame, classes: list[int]):
-        self.settings, self.train, self.classes = settings, train, classes
+class KNNModel(Model, _KNNParams):
+    def __init__(self, train: DataFrame, classes: list[int]):
+        super().__init__()
+        self.train, self.classes = train, classes
 
-    def transform(self, queries: DataFrame, apart: str | None = None) -> DataFrame:
+    def scored(self, queries: DataFrame, apart: str | None = None) -> DataFrame:
         """Add ``neighbours``, ``votes``, ``probability`` (one per class, in label order), ``prediction``."""
-        s = self.settings
-        return voted(neighbours(queries, self.train, s.n_neighbors, s.p, apart), self.classes, s.weights)
+        points = queries.withColumn("vec", _as_array(queries, self.getFeaturesCol()))
+        found = neighbours(points, self.train, self.getOrDefault("nNeighbors"), self.getOrDefault("p"), apart)
+        return voted(found, self.classes, self.getOrDefault("weights"))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.scored(df)
 
 
 def grid_votes(found: DataFrame, keep: list[str], ks: list[int], weights: list[str]) -> DataFrame:

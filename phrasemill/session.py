@@ -52,3 +52,21 @@ def fits(df: DataFrame, row_bytes: int, budget: int) -> bool:
     """
     most = max(budget // row_bytes, 1)
     return df.limit(most + 1).count() <= most
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` over all cores.
+
+    The partition number is the larger of cores and ``spark.sql.shuffle.partitions``,
+    which a cluster sets by its data; adaptive execution does not merge them.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
+def spread_small(table: DataFrame, key: str) -> DataFrame:
+    """``spread`` for a stored table that has fewer splits than there are cores; others stay as they are."""
+    if table.rdd.getNumPartitions() < table.sparkSession.sparkContext.defaultParallelism:
+        return spread(table, key)
+    return table

@@ -87,5 +87,5 @@ def test_grid_votes_agree_with_single_models(spark):
             for r in grid_votes(found, ["row_id"], ks, ws).collect()}
     for k in ks:
         for w in ws:
-            for r in KNNClassifier(k, w, 1).fit(df).transform(df, "fold").collect():
+            for r in KNNClassifier(k, w, 1).fit(df).scored(df, "fold").collect():
                 assert grid[(r.row_id, k, w)] == r.prediction
