@@ -35,16 +35,20 @@ def concat_embedding(texts: DataFrame, vectors: DataFrame, keep: list[str], out:
                      max_words: int = 30, budget: int = BROADCAST_BYTES) -> DataFrame:
     """The vectors of the first ``max_words`` words that have one, one after another, padded with zeros.
 
-    Words without a vector are sorted to the end, so every text keeps at least
-    one row; the row limit is also applied ahead of the shuffle.
+    The words that count are picked first, by their mere presence in the vector
+    table; vectors are attached to those only. Words without a vector are sorted
+    to the end, so every text keeps at least one row; the row limit is also
+    applied ahead of the shuffle.
     """
     dim = dimension(vectors)
-    tokens = attach_vectors(token_stream(texts, keep), vectors, "left", budget)
-    order = Window.partitionBy(*keep).orderBy(F.col("vec").isNull(), "pos")
+    tokens = attach_vectors(token_stream(texts, keep), vectors.select("word", F.lit(True).alias("known")),
+                            "left", budget, row_bytes=80)
+    order = Window.partitionBy(*keep).orderBy(F.col("known").isNull(), "pos")
     first = tokens.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max_words)
+    found = attach_vectors(first.drop("known", "_rn"), vectors, "left", budget)
     listed = F.collect_list(F.when(F.col("vec").isNotNull(), F.struct("pos", "vec")))
     joined = F.flatten(F.transform(F.array_sort(listed), lambda t: t["vec"].cast("array<double>")))
-    return first.groupBy(*keep).agg(pad(joined, max_words * dim).alias(out))
+    return found.groupBy(*keep).agg(pad(joined, max_words * dim).alias(out))
 
 
 class Words(Transformer, HasInputCol, HasOutputCol):

@@ -18,16 +18,15 @@ def token_stream(texts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def attach_vectors(tokens: DataFrame, vectors: DataFrame, how: str = "left",
-                   budget: int = BROADCAST_BYTES) -> DataFrame:
-    """Join a token stream to its vectors.
+                   budget: int = BROADCAST_BYTES, row_bytes: int | None = None) -> DataFrame:
+    """Join a token stream to its vectors (or to any other columns of a word table with rows of ``row_bytes``).
 
     A vector table within ``budget`` is broadcast, and tokens stay where they
     are. A bigger one is joined by shuffle; common words, of which there can be
     at most ``1 / HOT_SHARE``, would pile up in single tasks, so only they are
     broadcast and the rest is shuffled.
     """
-    row_bytes = 64 + 4 * dimension(vectors)
-    if fits(vectors, row_bytes, budget):
+    if fits(vectors, row_bytes or 64 + 4 * dimension(vectors), budget):
         return tokens.join(F.broadcast(vectors), "word", how)
     counts = tokens.groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))

@@ -18,14 +18,14 @@ from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
 from phrasemill.operators.knn import KNNClassifier, grid_votes, neighbours
 from phrasemill.plans.classifiers import CLASSIFIERS, Shape, combinations
-from phrasemill.session import written
+from phrasemill.session import spread, written
 
 KNN_GRID = CLASSIFIERS["NearestNeighborsAlgorithm"].grid
 
 
 def split_rows(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """Held-out part and folds, written once for the many passes of a search."""
-    return written(nested_folds(rows, folds), "split")
+    """Held-out part and folds, written once, over all cores, for the many passes of a search."""
+    return written(spread(nested_folds(rows, folds), "row_id"), "split")
 
 
 def knn_grid_predictions(train: DataFrame, grid: dict[str, list], fold: str = "cv_fold") -> DataFrame:

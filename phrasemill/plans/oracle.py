@@ -343,7 +343,8 @@ LEFT JOIN first_scores t ON t.split = 'test' AND t.classifier = b.classifier AND
 AND t.word_emb_params = b.word_emb_params AND t.sent_emb = b.sent_emb
 LEFT JOIN first_scores r ON r.split = 'train' AND r.classifier = b.classifier AND r.word_emb = b.word_emb
 AND r.word_emb_params = b.word_emb_params AND r.sent_emb = b.sent_emb)"""
-SUMMARY = """summary AS (SELECT classifier, max(cv) AS best, round(avg(cv), 2) AS average, count(*) AS combinations
+MEAN = "sum(CAST(round(cv * 100) AS BIGINT))::DOUBLE / count(cv) / 100.0"
+SUMMARY = f"""summary AS (SELECT classifier, max(cv) AS best, round({MEAN}, 2) AS average, count(*) AS combinations
 FROM results GROUP BY classifier)"""
 BEST = "classifier, line_no, word_emb, word_emb_params, sent_emb, cv"
 ORACLE["parse_grid_results"] = _with(RESULTS) + """
@@ -359,13 +360,13 @@ ORACLE["grid_summary"] = _with(RESULTS, SUMMARY) + "SELECT * FROM summary"
 ORACLE["model_ranking"] = _with(RESULTS, FIRST, SCORES, SUMMARY) + """
 SELECT classifier, CAST(row_number() OVER (ORDER BY test_score, classifier) AS INTEGER) AS place, cv AS best, average,
 test_score, train_score FROM evaluated JOIN (SELECT classifier, average FROM summary) USING (classifier)"""
-ORACLE["emb_compare"] = _with(RESULTS) + """
-SELECT classifier, sent_emb, max(cv) AS best, round(avg(cv), 2) AS average FROM results GROUP BY classifier, sent_emb"""
+ORACLE["emb_compare"] = _with(RESULTS) + f"""
+SELECT classifier, sent_emb, max(cv) AS best, round({MEAN}, 2) AS average FROM results GROUP BY classifier, sent_emb"""
 ORACLE["running_max_avg"] = _with(RESULTS) + """
 SELECT classifier, sent_emb, round(avg(so_far), 2) AS running_max_avg FROM (SELECT classifier, sent_emb,
 max(cv) OVER (PARTITION BY classifier, sent_emb ORDER BY line_no) AS so_far FROM results) GROUP BY classifier, sent_emb"""
-ORACLE["param_profile"] = _with(RESULTS) + """
-SELECT classifier, CAST(n_neighbors AS VARCHAR) AS param_value, round(avg(cv), 4) AS average, min(cv) AS lowest,
+ORACLE["param_profile"] = _with(RESULTS) + f"""
+SELECT classifier, CAST(n_neighbors AS VARCHAR) AS param_value, {MEAN} AS average, min(cv) AS lowest,
 max(cv) AS highest FROM results GROUP BY classifier, n_neighbors"""
 ORACLE["param_pair_profile"] = _with(RESULTS) + f"""
 SELECT classifier, CAST(n_neighbors AS DOUBLE) AS first, CAST(p AS DOUBLE) AS second, max(cv) AS highest,

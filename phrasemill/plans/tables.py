@@ -72,7 +72,7 @@ def chat_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
     early = F.col("user_id") < 75
-    return table(spark, folder, "events").select(
+    return spread_small(table(spark, folder, "events"), "event_id").select(
         F.col("event_id").alias("line_no"), F.col("event_type").alias("classifier"), "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id",
         F.when(early, "GloveEmbedding").otherwise("Word2VecEmbedding").alias("word_emb"),
