@@ -1,38 +1,33 @@
 """Vector arithmetic on ``array`` columns.
 
 Sums over a known dimension are written out element by element: that keeps
-them in generated code, which higher-order functions would leave.
+them in generated code, which higher-order functions would leave. They are
+given as SQL text, as hundreds of single column objects are slow to build.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 
-def _total(parts: list[Column]) -> Column:
-    """Sum with a shallow expression tree."""
-    while len(parts) > 1:
-        parts = [reduce(lambda a, b: a + b, parts[i:i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0]
-
-
-def item(vec: Column, i: int) -> Column:
-    return F.get(vec, F.lit(i)).cast("double")
+def _element(vec: str, i: int) -> str:
+    return f"cast(get({vec}, {i}) as double)"
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    return _total([item(a, i) * item(b, i) for i in range(dim)])
+def _dot(a: str, b: str | list[float], dim: int) -> str:
+    other = [_element(b, i) if isinstance(b, str) else f"{float(b[i])!r}D" for i in range(dim)]
+    return "(" + " + ".join(f"{_element(a, i)} * {other[i]}" for i in range(dim)) + ")"
 
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
-    return dot(a, b, dim) / (F.sqrt(dot(a, a, dim)) * F.sqrt(dot(b, b, dim)))
+def cosine(a: str, b: str | list[float], dim: int) -> Column:
+    """Cosine of column ``a`` with column ``b`` or with given numbers."""
+    square = _dot(b, b, dim) if isinstance(b, str) else f"{sum(float(x) ** 2 for x in b)!r}D"
+    return F.expr(f"{_dot(a, b, dim)} / (sqrt({_dot(a, a, dim)}) * sqrt({square}))")
 
 
-def element_sums(vec: Column, dim: int) -> list[Column]:
-    """One sum aggregate per element; nulls (words without a vector) add nothing."""
-    return [F.coalesce(F.sum(item(vec, i)), F.lit(0.0)).alias(f"_s{i}") for i in range(dim)]
+def element_sums(vec: str, dim: int) -> list[Column]:
+    """One sum aggregate ``_s<i>`` per element; nulls (words without a vector) add nothing."""
+    return [F.expr(f"coalesce(sum({_element(vec, i)}), 0D) as _s{i}") for i in range(dim)]
 
 
 def pad(vec: Column, length: int) -> Column:

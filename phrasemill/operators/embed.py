@@ -5,7 +5,6 @@ A text whose words all lack a vector stays, as a zero vector.
 
 from __future__ import annotations
 
-from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -27,8 +26,8 @@ def sum_embedding(texts: DataFrame, vectors: DataFrame, keep: list[str], out: st
     """
     dim = dimension(vectors)
     tokens = attach_vectors(token_stream(texts, keep), vectors, "left", budget)
-    sums = tokens.groupBy(*keep).agg(*element_sums(F.col("vec"), dim))
-    return sums.select(*keep, F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias(out))
+    sums = tokens.groupBy(*keep).agg(*element_sums("vec", dim))
+    return sums.select(*keep, F.expr("array(" + ", ".join(f"_s{i}" for i in range(dim)) + ")").alias(out))
 
 
 def concat_embedding(texts: DataFrame, vectors: DataFrame, keep: list[str], out: str = "features",
@@ -54,10 +53,9 @@ def concat_embedding(texts: DataFrame, vectors: DataFrame, keep: list[str], out:
 class Words(Transformer, HasInputCol, HasOutputCol):
     """Pipeline stage: text to array of words."""
 
-    @keyword_only
     def __init__(self, *, inputCol: str = "text", outputCol: str = "words"):
         super().__init__()
-        self._set(**self._input_kwargs)
+        self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.getOutputCol(), words_of(F.col(self.getInputCol())))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -19,12 +18,10 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
     gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
     count = Param(Params._dummy(), "count", "number of features", TypeConverters.toInt)
 
-    @keyword_only
     def __init__(self, *, inputCol: str = "features", outputCol: str = "fourier", gamma: float = 0.1,
                  count: int = 256, seed: int = 17):
         super().__init__()
-        self._set(**{"inputCol": inputCol, "outputCol": outputCol, "gamma": gamma, "count": count, "seed": seed,
-                     **self._input_kwargs})
+        self._set(inputCol=inputCol, outputCol=outputCol, gamma=gamma, count=count, seed=seed)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         gamma, count, seed = self.getOrDefault("gamma"), self.getOrDefault("count"), self.getSeed()

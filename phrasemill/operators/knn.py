@@ -79,66 +79,80 @@ def _nearest(found: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(found[near], kind="stable")][:k]
 
 
-class _Block:
-    """Training rows held by a task, in id order."""
-
-    def __init__(self, table, apart: str | None):
-        ids = _numbers(table.column("row_id"))
-        order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.labels = _numbers(table.column("label"))[order].astype(np.int32)
-        self.across = np.ascontiguousarray(_matrix(table.column("vec"))[order].T)
-        self.apart = _numbers(table.column(apart))[order] if apart else None
-
-    def search(self, points: np.ndarray, aparts, k: int, p: float) -> pa.ListArray:
-        """The neighbours of each point as one list."""
-        picks, gaps = [], []
-        buffer = np.empty_like(self.across)
-        for i, point in enumerate(points):
-            found = np.round(distances(self.across, point, p, buffer), DIGITS) if len(self.ids) else np.empty(0)
-            if aparts is not None:
-                open_rows = np.flatnonzero(self.apart != aparts[i])
-                pick = open_rows[_nearest(found[open_rows], k)]
-            else:
-                pick = _nearest(found, k)
-            picks.append(pick)
-            gaps.append(found[pick])
-        ends = np.cumsum([0] + [len(x) for x in picks]).astype(np.int32)
-        pick = np.concatenate(picks) if picks else np.empty(0, dtype=int)
-        gap = np.concatenate(gaps) if gaps else np.empty(0)
-        rows = pa.StructArray.from_arrays(
-            [pa.array(gap, pa.float64()), pa.array(self.ids[pick], pa.int64()), pa.array(self.labels[pick], pa.int32())],
-            names=["distance", "row_id", "label"])
-        return pa.ListArray.from_arrays(pa.array(ends), rows)
+def _block(table, apart: str | None) -> tuple:
+    """Training rows held by a task, in id order: ids, labels, vectors as columns, values of ``apart``."""
+    ids = _numbers(table.column("row_id"))
+    order = np.argsort(ids, kind="stable")
+    return (ids[order], _numbers(table.column("label"))[order].astype(np.int32),
+            np.ascontiguousarray(_matrix(table.column("vec"))[order].T),
+            _numbers(table.column(apart))[order] if apart else None)
+
+
+def _search(block: tuple, points: np.ndarray, aparts, k: int, p: float) -> pa.ListArray:
+    """The neighbours of each point among the rows of a block, as one list per point."""
+    ids, labels, across, row_aparts = block
+    picks, gaps = [], []
+    buffer = np.empty_like(across)
+    for i, point in enumerate(points):
+        found = np.round(distances(across, point, p, buffer), DIGITS) if len(ids) else np.empty(0)
+        if aparts is not None:
+            open_rows = np.flatnonzero(row_aparts != aparts[i])
+            pick = open_rows[_nearest(found[open_rows], k)]
+        else:
+            pick = _nearest(found, k)
+        picks.append(pick)
+        gaps.append(found[pick])
+    ends = np.cumsum([0] + [len(x) for x in picks]).astype(np.int32)
+    pick = np.concatenate(picks) if picks else np.empty(0, dtype=int)
+    gap = np.concatenate(gaps) if gaps else np.empty(0)
+    rows = pa.StructArray.from_arrays(
+        [pa.array(gap, pa.float64()), pa.array(ids[pick], pa.int64()), pa.array(labels[pick], pa.int32())],
+        names=["distance", "row_id", "label"])
+    return pa.ListArray.from_arrays(pa.array(ends), rows)
+
+
+class TrainSet:
+    """Training rows made ready for many searches.
+
+    ``train`` has ``row_id``, ``label`` and ``vec``. With ``apart`` (an integer
+    column of both sides) a query only sees training rows with another value,
+    as cross-validation needs it.
+    """
 
+    def __init__(self, train: DataFrame, apart: str | None = None, budget: int = BROADCAST_BYTES,
+                 block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS):
+        self.rows = train.select("row_id", F.col("label").cast("int"), F.col("vec").cast("array<double>"),
+                                 *([apart] if apart else []))
+        self.apart, self.block_rows, self.pivots = apart, block_rows, pivots
+        row = self.rows.select(F.size("vec").alias("n")).first()
+        if row is None:
+            raise ValueError("the training set is empty")
+        self.block = None
+        if fits(self.rows, 8 * row["n"] + 24, budget):
+            self.block = train.sparkSession.sparkContext.broadcast(_block(self.rows.toArrow(), apart))
+
+    def search(self, queries: DataFrame, k: int, p: float = 2) -> DataFrame:
+        """The ``k`` nearest training rows of each query, as a sorted array column ``neighbours``.
+
+        ``queries`` has ``row_id`` and ``vec`` and any other columns, which are kept (``vec`` is not).
+        """
+        queries = queries.withColumn("vec", F.col("vec").cast("array<double>"))
+        if self.block is not None:
+            return _search_broadcast(queries, self.block, k, p, self.apart)
+        return _search_cells(queries, self.rows, k, p, self.apart, self.block_rows, self.pivots)
 
-def neighbours(queries: DataFrame, train: DataFrame, k: int, p: float = 2, apart: str | None = None,
-               budget: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
-    """The ``k`` nearest training rows of each query, as a sorted array column ``neighbours``.
 
-    ``queries`` has ``row_id`` and ``vec`` and any other columns, which are kept
-    (``vec`` is not); ``train`` has ``row_id``, ``label`` and ``vec``. With
-    ``apart`` (an integer column of both sides) a query only sees training rows
-    with another value, as cross-validation needs it.
-    """
-    train = train.select("row_id", F.col("label").cast("int"), F.col("vec").cast("array<double>"),
-                         *([apart] if apart else []))
-    queries = queries.withColumn("vec", F.col("vec").cast("array<double>"))
-    row = train.select(F.size("vec").alias("n")).first()
-    if row is None:
-        raise ValueError("the training set is empty")
-    if fits(train, 8 * row["n"] + 24, budget):
-        return _search_broadcast(queries, train, k, p, apart)
-    return _search_cells(queries, train, k, p, apart, block_rows, pivots)
+def neighbours(queries: DataFrame, train: DataFrame, k: int, p: float = 2, apart: str | None = None,
+               **how) -> DataFrame:
+    """One search, see ``TrainSet``."""
+    return TrainSet(train, apart, **how).search(queries, k, p)
 
 
 def _kept(queries: DataFrame) -> list[T.StructField]:
     return [f for f in queries.schema.fields if f.name != "vec"]
 
 
-def _search_broadcast(queries: DataFrame, train: DataFrame, k: int, p: float, apart: str | None) -> DataFrame:
-    # Bounded by the caller's size check.
-    block = queries.sparkSession.sparkContext.broadcast(_Block(train.toArrow(), apart))
+def _search_broadcast(queries: DataFrame, block, k: int, p: float, apart: str | None) -> DataFrame:
     kept = _kept(queries)
     # Scoring is bound by arithmetic: a short shuffle of the vectors lets all cores take part
     # where the input came in few partitions.
@@ -146,8 +160,8 @@ def _search_broadcast(queries: DataFrame, train: DataFrame, k: int, p: float, ap
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = block.value.search(_matrix(batch.column("vec")),
-                                       _numbers(batch.column(apart)) if apart else None, k, p)
+            found = _search(block.value, _matrix(batch.column("vec")),
+                            _numbers(batch.column(apart)) if apart else None, k, p)
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [found],
                                              names=[f.name for f in kept] + ["neighbours"])
 
@@ -227,8 +241,8 @@ def _search_cells(queries: DataFrame, train: DataFrame, k: int, p: float, apart:
              .drop("parts", "chunks", "radius"))
 
     def match(points: pa.Table, rows: pa.Table) -> pa.Table:
-        found = _Block(rows, apart).search(_matrix(points.column("vec")),
-                                           _numbers(points.column(apart)) if apart else None, k, p)
+        found = _search(_block(rows, apart), _matrix(points.column("vec")),
+                        _numbers(points.column(apart)) if apart else None, k, p)
         return pa.table({"row_id": points.column("row_id"), "neighbours": found})
 
     keys = ["cell", "part", "chunk"]
@@ -311,11 +325,14 @@ class KNNModel(Model, _KNNParams):
     def __init__(self, train: DataFrame, classes: list[int]):
         super().__init__()
         self.train, self.classes = train, classes
+        self._ready: dict[str | None, TrainSet] = {}
 
     def scored(self, queries: DataFrame, apart: str | None = None) -> DataFrame:
         """Add ``neighbours``, ``votes``, ``probability`` (one per class, in label order), ``prediction``."""
         points = queries.withColumn("vec", _as_array(queries, self.getFeaturesCol()))
-        found = neighbours(points, self.train, self.getOrDefault("nNeighbors"), self.getOrDefault("p"), apart)
+        if apart not in self._ready:  # once per model, also when it scores many micro-batches
+            self._ready[apart] = TrainSet(self.train, apart)
+        found = self._ready[apart].search(points, self.getOrDefault("nNeighbors"), self.getOrDefault("p"))
         return voted(found, self.classes, self.getOrDefault("weights"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -331,12 +348,12 @@ def grid_votes(found: DataFrame, keep: list[str], ks: list[int], weights: list[s
     settings = [(k, w) for k in ks for w in weights]
     first = F.get("neighbours", F.lit(0))["distance"].alias("_first")
     each = found.select(*keep, first, F.posexplode("neighbours").alias("_place", "_n"))
-    sums = [F.round(F.sum(F.when(F.col("_place") < k, vote_weight(w, F.col("_n.distance"), F.col("_first")))
-                          .otherwise(0.0)), DIGITS).alias(f"_v{i}") for i, (k, w) in enumerate(settings)]
-    votes = each.groupBy(*keep, F.col("_n.label").alias("_class")).agg(*sums)
-    picks = [F.max_by("_class", F.struct(F.col(f"_v{i}"), -F.col("_class"))).alias(f"_p{i}")
-             for i in range(len(settings))]
-    picked = votes.groupBy(*keep).agg(*picks)
-    rows = F.array(*[F.struct(F.lit(k).alias("n_neighbors"), F.lit(w).alias("weights"),
-                              F.col(f"_p{i}").alias("prediction")) for i, (k, w) in enumerate(settings)])
-    return picked.select(*keep, F.inline(rows))
+    weighed = each.select(*keep, "_place", F.col("_n.label").alias("_class"), *[
+        vote_weight(w, F.col("_n.distance"), F.col("_first")).alias(f"_{w}") for w in weights])
+    votes = weighed.groupBy(*keep, "_class").agg(*[
+        F.expr(f"round(sum(if(_place < {k}, _{w}, 0D)), {DIGITS}) as _v{i}") for i, (k, w) in enumerate(settings)])
+    picked = votes.groupBy(*keep).agg(*[
+        F.expr(f"max_by(_class, struct(_v{i}, -_class)) as _p{i}") for i in range(len(settings))])
+    rows = ", ".join(f"struct({k} as n_neighbors, '{w}' as weights, _p{i} as prediction)"
+                     for i, (k, w) in enumerate(settings))
+    return picked.select(*keep, F.expr(f"inline(array({rows}))"))

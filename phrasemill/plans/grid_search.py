@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from phrasemill.functions.params import params_text
 from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
-from phrasemill.operators.knn import KNNClassifier, grid_votes, neighbours
+from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
 from phrasemill.plans.classifiers import CLASSIFIERS, Shape, combinations
 from phrasemill.session import spread, written
 
@@ -31,9 +31,10 @@ def split_rows(rows: DataFrame, folds: int = 5) -> DataFrame:
 def knn_grid_predictions(train: DataFrame, grid: dict[str, list], fold: str = "cv_fold") -> DataFrame:
     """Out-of-fold predictions for all settings: one neighbour search per ``p``, all folds at once."""
     most = max(grid["n_neighbors"])
+    known = TrainSet(train, apart=fold)
     parts = []
     for p in grid["p"]:
-        found = neighbours(train, train, most, p, apart=fold)
+        found = known.search(train, most, p)
         votes = grid_votes(found, ["row_id", "label", fold], grid["n_neighbors"], grid["weights"])
         parts.append(votes.withColumn("p", F.lit(p)))
     return reduce(DataFrame.unionByName, parts)
