@@ -27,7 +27,7 @@ from phrasemill.functions.vectors import normalise
 from phrasemill.session import fits, spread, written
 
 DIGITS = 9
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 PIVOTS = 256
 RINGS = 8

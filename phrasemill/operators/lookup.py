@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from phrasemill.session import fits
+from phrasemill.session import fits, written
 from phrasemill.sources.vectors import dimension
 
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 128 << 20
 # A word with more than this share of all tokens is joined apart from the rest.
 HOT_SHARE = 0.001
 
@@ -28,10 +28,9 @@ def attach_vectors(tokens: DataFrame, vectors: DataFrame, how: str = "left",
     """
     if fits(vectors, row_bytes or 64 + 4 * dimension(vectors), budget):
         return tokens.join(F.broadcast(vectors), "word", how)
-    counts = tokens.groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    hot = (counts.join(F.broadcast(total)).where(F.col("n") > HOT_SHARE * F.col("total"))
-           .select("word", F.lit(True).alias("hot")))
+    counts = written(tokens.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > HOT_SHARE * total).select("word", F.lit(True).alias("hot"))
     marked = tokens.join(F.broadcast(hot), "word", "left")
     hot_vectors = F.broadcast(vectors.join(F.broadcast(hot.select("word")), "word", "left_semi"))
     common = marked.where(F.col("hot")).drop("hot").join(hot_vectors, "word", how)

@@ -45,7 +45,7 @@ def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), ac
         layers=[shape.dim, *hidden_layer_sizes, shape.classes], maxIter=max_iter, blockSize=128, seed=seed)
 
 
-def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256, max_iter: int = 30,
+def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256, max_iter: int = 10,
                seed: int = 17) -> Estimator:
     """RBF support vector machine, approximated: Fourier features and one linear machine per class."""
     return Pipeline(stages=[

@@ -18,14 +18,18 @@ from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
 from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
 from phrasemill.plans.classifiers import CLASSIFIERS, Shape, combinations
-from phrasemill.session import spread, written
+from phrasemill.session import written
 
 KNN_GRID = CLASSIFIERS["NearestNeighborsAlgorithm"].grid
 
 
 def split_rows(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """Held-out part and folds, written once, over all cores, for the many passes of a search."""
-    return written(spread(nested_folds(rows, folds), "row_id"), "split")
+    """Held-out part and folds, written once for the many passes of a search.
+
+    Adaptive execution gives the table as many parts as its size calls for: the iterative fits
+    start some jobs per iteration, and small data in many parts would only cost scheduling.
+    """
+    return written(nested_folds(rows, folds), "split")
 
 
 def knn_grid_predictions(train: DataFrame, grid: dict[str, list], fold: str = "cv_fold") -> DataFrame:

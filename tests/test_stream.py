@@ -67,7 +67,7 @@ def test_last_class_on_request(spark, vectors, model):
 
 
 def test_score_texts(spark, vectors, model):
-    texts = spark.createDataFrame([(1, "A goal!"), (2, "#vote")], "row_id long, text string")
+    texts = spark.createDataFrame([(1, "A ball, goal! ball goal BALL goal"), (2, "#vote law vote law vote law")], "row_id long, text string")
     names = spark.createDataFrame([(0, "Sport"), (1, "Music"), (2, "Politics")], "idx int, name string")
     got = score_texts(model, texts, vectors, names, ["row_id"])
     best = {r.row_id: r.category for r in got.where(F.col("percent") > 50).collect()}
