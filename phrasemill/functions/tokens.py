@@ -95,7 +95,12 @@ def ascii_fold(text: pd.Series) -> pd.Series:
 
 def one_line(text: Column) -> Column:
     """Trim ASCII white space and delete line breaks; the words around a break are joined."""
-    return F.replace(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""), F.lit("\n"), F.lit(""))
+    return F.replace(F.btrim(text, F.lit(" \t\n\x0b\f\r")), F.lit("\n"), F.lit(""))
+
+
+def has_tokens(text: Column, least: int) -> Column:
+    """At least so many white-space tokens; reads no further than needed."""
+    return text.rlike(rf"^\s*+\S++(?:\s++\S++){{{least - 1}}}")
 
 
 def token_count(text: Column) -> Column:

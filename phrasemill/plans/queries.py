@@ -20,7 +20,7 @@ from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_sim
 from phrasemill.plans import analysis, grid_search, sweep, tables
 from phrasemill.plans.classifiers import CLASSIFIERS, Shape, kernel_svm_probabilities
 from phrasemill.plans.score import is_confident, score_texts
-from phrasemill.session import new_path, written
+from phrasemill.session import new_path, spread_small
 from phrasemill.sources import results, texts, vectors as vector_source
 from phrasemill.streaming.miner import mine_to_table, prefilter
 
@@ -103,7 +103,8 @@ def _messages(frame: DataFrame) -> DataFrame:
 
 @query("stream_prefilter")
 def stream_prefilter(spark, folder):
-    return prefilter(_messages(tables.table(spark, folder, "documents"))).select(
+    stored = spread_small(tables.table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return prefilter(_messages(stored)).select(
         "row_id", token_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("digest"))
 
 

@@ -3,7 +3,7 @@ import re
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from phrasemill.functions.tokens import SMALL_NUMBERS, ascii_fold, one_line, token_count, words_of
+from phrasemill.functions.tokens import SMALL_NUMBERS, ascii_fold, has_tokens, one_line, token_count, words_of
 
 
 def words_by_rule(text: str) -> list[str]:
@@ -53,3 +53,6 @@ def test_stream_text_functions(spark):
     assert folded.t == "Cafeau lait No 5"
     assert empty.t is None
     assert spark.range(1).select(token_count(F.lit(" a  b\x0bc\n"))).first()[0] == 3
+    for text in ("a b c d", " a b\x0bc d e ", "", "a b c d ", "a\nb\tc d e f"):
+        one = spark.range(1).select(*[has_tokens(F.lit(text), n) for n in (1, 4, 5)]).first()
+        assert list(one) == [len(text.split()) >= n for n in (1, 4, 5)]
