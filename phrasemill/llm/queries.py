@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.llm import toxicity
 from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
 from phrasemill.llm.kmeans_tree import search
@@ -15,6 +16,7 @@ from phrasemill.llm.lineblocks import extract_pages
 from phrasemill.llm.pieces import decode_pieces, encode_pieces, id_digests
 from phrasemill.llm.simhash import hex_print, near_duplicates
 from phrasemill.llm.token_files import ids_crc32, read_tokens, write_tokens
+from phrasemill.llm.toxicity import score_toxicity
 from phrasemill.llm.warc import archive_pages, page_rows, read_warc
 from phrasemill.session import new_path, written
 
@@ -36,6 +38,16 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return page_rows(read_warc(spark, place))
 
 
+def op5_zstd_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, from labels of three folds of four."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    known = docs.join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id").filter(~held_out)
+    scored = score_toxicity(docs, toxicity.fit(known)).drop("text")
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= toxicity.SCORE_CUT).cast("int").alias("predicted"))
+
+
 #: A conversation whose texts are made of the template's own control strings.
 TRAP = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -73,7 +85,7 @@ def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_warc, op6_chat, op7_kmeans_tree, op8_token_files, op9_simhash,
+    f.__name__: f for f in (op2_sentencepiece, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files, op9_simhash,
                             op10_line_blocks)}
 
 #: None of these can be said in SQL: they need tokenizers, archives, trees or markup. Tests hold them to brute force.
