@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import toxicity
+from phrasemill.llm import quality, toxicity
 from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
 from phrasemill.llm.kmeans_tree import search
 from phrasemill.llm.lineblocks import extract_pages
 from phrasemill.llm.pieces import decode_pieces, encode_pieces, id_digests
+from phrasemill.llm.quality import score_quality
 from phrasemill.llm.simhash import hex_print, near_duplicates
+from phrasemill.llm.templates import contaminated
 from phrasemill.llm.token_files import ids_crc32, read_tokens, write_tokens
 from phrasemill.llm.toxicity import score_toxicity
 from phrasemill.llm.warc import archive_pages, page_rows, read_warc
@@ -24,6 +26,11 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, perhaps with other numbers or names."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded texts."""
     ids = encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECES).drop("text")
@@ -31,6 +38,15 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "library_agrees")
 
 
+def op3_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, from the good ones among the labels of four folds of five."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    trusted = table(spark, folder, "labels").filter((F.col("quality") == 1) & ~held_out).select("doc_id")
+    return score_quality(docs, trusted).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.SCORE_CUT).cast("int").alias("predicted"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Archive every page and read the archives back."""
     place = new_path(spark, "warc")
@@ -85,7 +101,7 @@ def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files, op9_simhash,
+    f.__name__: f for f in (op1_templates, op2_sentencepiece, op3_pu_quality, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files, op9_simhash,
                             op10_line_blocks)}
 
 #: None of these can be said in SQL: they need tokenizers, archives, trees or markup. Tests hold them to brute force.

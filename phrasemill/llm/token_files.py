@@ -10,6 +10,7 @@ holds how many ids the earlier files have.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -48,11 +49,17 @@ class WordEncoder(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         new = list({w for ws in words for w in ws if w not in self})
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[word] = np.array(code.ids, "<u4").tobytes()
         return [b"".join(map(self.__getitem__, ws)) for ws in words]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a worker process, which outlives a task; losing it costs time only."""
+    return WordEncoder(path)
+
+
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int, text: str = "text", key: str = "doc_id") -> None:
     """Encode ``text`` of every row, append ``end`` and write files in ascending order of ``key`` below ``path``.
 
@@ -65,7 +72,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int, text: str =
     ordered = source.repartitionByRange(parts_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         last, part = np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
         at = 0
 
