@@ -4,16 +4,17 @@ A text is cut before every run of word marks (no piece crosses such a place;
 the vocabulary is checked for that when it is loaded), each part is merged by
 an agenda of adjacent symbol pairs, best score first and leftmost on ties, and
 symbols without a piece become their bytes. Parts repeat a lot, so a worker
-remembers their ids. Every Arrow batch is checked against the library.
+remembers their ids. The library checks every part when a worker meets it, and
+a whole text of every Arrow batch.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import by_batch, list_bounds, list_of, whole
+from phrasemill.llm.common import by_batch, list_of, whole
 
 MARK = "▁"
 #: Parts of at most this many symbols are merged together, longer ones one by one.
 SHORT = 24
+HELD = "__text"
 NONE = np.int32(2**31 - 1)
 #: Parts that a worker remembers at most; beyond that it starts anew, which changes no result.
 REMEMBERED = 300_000
@@ -149,52 +151,62 @@ class PieceEncoder(dict):
                 symbols = ids
             self[part] = struct.pack(f"<{len(symbols)}I", *symbols)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, without begin and end."""
+    def encode(self, texts: list[str], check: bool = True) -> tuple[list[bytes], bool]:
+        """Ids of whole texts, without begin and end, and whether the library agrees wherever it was asked."""
         parts = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self) >= REMEMBERED:
             self.clear()
-        self.learn(list({p for ps in parts for p in ps if p not in self}))
-        return [b"".join(map(self.__getitem__, ps)) for ps in parts]
+        new = list({p for ps in parts for p in ps if p not in self})
+        self.learn(new)
+        packed = [b"".join(map(self.__getitem__, ps)) for ps in parts]
+        agrees = True
+        if check:
+            # The library puts a mark before a text, as the part has it; a mark alone is a piece of its own.
+            asked = [p for p in new if len(p) > 1]
+            of_parts = self.library.encode([p[1:] for p in asked], num_threads=1)
+            agrees = all(struct.pack(f"<{len(w)}I", *w) == self[p] for p, w in zip(asked, of_parts, strict=True))
+            if texts:
+                first = self.library.encode(texts[0])
+                agrees &= struct.pack(f"<{len(first)}I", *first) == packed[0]
+        return packed, agrees
+
+    def whole(self, texts: list[str], begin_end: bool, check: bool = True) -> tuple[list[bytes], bool]:
+        """As ``encode``, with the begin and end ids if wanted."""
+        packed, agrees = self.encode(texts, check)
+        if begin_end:
+            first, last = (struct.pack("<I", i) for i in (self.library.bos_id(), self.library.eos_id()))
+            packed = [first + p + last for p in packed]
+        return packed, agrees
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(model: str) -> PieceEncoder:
+    """The encoder of a worker process, which outlives a task; losing it costs time only."""
+    return PieceEncoder(model)
 
 
 def encode_pieces(df: DataFrame, model: str, text: str = "text", ids: str = "ids", agrees: str = "library_agrees",
                   begin_end: bool = True, check: bool = True) -> DataFrame:
-    """``df`` with the ids of ``text`` (list of int) and whether the library gives the same.
+    """``df`` with the ids of ``text`` (list of int) and whether the library agrees on the row's Arrow batch.
 
     A null text counts as empty; an empty text has only the begin and end ids.
     Rows are independent: repeated rows and ties need no rule, an empty table
     gives an empty table. Columns of ``df`` with the names of new ones are
     replaced. With ``check`` off, ``agrees`` is null.
     """
-    held = "__text"
     kept = [c for c in df.columns if c not in (ids, agrees)]
-    source = df.withColumn(held, whole(text)).select(*kept, held)
-    schema = source.drop(held).withColumns({ids: F.array(F.lit(0)), agrees: F.lit(None).cast("boolean")}).schema
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model)
-        library = encoder.library
-        first = np.array([library.bos_id()], "<u4").tobytes() if begin_end else b""
-        last = np.array([library.eos_id()], "<u4").tobytes() if begin_end else b""
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(held).to_pylist()
-            packed = [first + p + last for p in encoder.encode(texts)]
-            lengths = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-            flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-            if check:
-                want = library.encode(texts, num_threads=1, add_bos=begin_end, add_eos=begin_end)
-                same = pa.array([np.array(w, "<u4").tobytes() == p for w, p in zip(want, packed, strict=True)],
-                                pa.bool_())
-            else:
-                same = pa.nulls(len(texts), pa.bool_())
-            return pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), list_of(lengths, flat, pa.int32()), same], [*kept, ids, agrees])
-
-        return by_batch(batches, work, 256)
-
-    return source.mapInArrow(run, schema)
+    source = df.withColumn(HELD, whole(text)).select(*kept, HELD)
+    schema = source.drop(HELD).withColumns({ids: F.array(F.lit(0)), agrees: F.lit(None).cast("boolean")}).schema
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed, same = encoder_of(model).whole(batch.column(HELD).to_pylist(), begin_end, check)
+        lengths = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), list_of(lengths, flat, pa.int32()),
+             pa.array([same if check else None] * len(packed), pa.bool_())], [*kept, ids, agrees])
+
+    return source.mapInArrow(lambda batches: by_batch(batches, work, 256), schema)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -206,32 +218,34 @@ def decode_pieces(df: DataFrame, model: str, ids: str = "ids", text: str = "deco
     source = df.withColumn(ids, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>"))).select(*kept)
     schema = source.withColumn(text, F.lit("")).schema
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = sentencepiece.SentencePieceProcessor(model_file=model)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = library.decode(batch.column(ids).to_pylist(), num_threads=1) if batch.num_rows else []
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())],
-                                              [*kept, text])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = encoder_of(model).library.decode(batch.column(ids).to_pylist(), num_threads=1) if batch.num_rows else []
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text])
 
-        return by_batch(batches, work, 256)
+    return source.mapInArrow(lambda batches: by_batch(batches, work, 256), schema)
 
-    return source.mapInArrow(run, schema)
 
+def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode with begin and end ids and decode again in one pass, so that no ids leave the worker.
 
-def id_digests(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """``df`` with ``n_tokens`` and ``ids_sha256`` in place of the id lists."""
-    kept = [c for c in df.columns if c not in (ids, "n_tokens", "ids_sha256")]
-    schema = df.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256")).schema
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, values = list_bounds(batch.column(ids))
-            flat = np.asarray(values).astype("<u4")
-            digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest()
-                       for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(np.diff(offsets).astype(np.int64)),
-                 pa.array(digests, pa.string())], [*kept, "n_tokens", "ids_sha256"])
-
-    return df.mapInArrow(run, schema)
+    (key, n_tokens, ids_sha256, decoded_sha256, library_agrees) of every row:
+    the digests of the ids as little-endian unsigned 32-bit integers and of the
+    decoded text in UTF-8. Nulls, empty texts and tables as in ``encode_pieces``;
+    further columns are not read.
+    """
+    source = df.select(F.col(key).alias(key), whole(text).alias(HELD))
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
+    schema = source.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
+                           F.lit("").alias("decoded_sha256"), F.lit(True).alias("library_agrees")).schema
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = encoder_of(model)
+        packed, same = encoder.whole(batch.column(HELD).to_pylist(), True)
+        ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
+        decoded = encoder.library.decode(ids, num_threads=1) if ids else []
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        return pa.RecordBatch.from_arrays(
+            [batch.column(key), pa.array([len(i) for i in ids], pa.int64()), pa.array([digest(p) for p in packed], pa.string()),
+             pa.array([digest(t.encode()) for t in decoded], pa.string()), pa.array([same] * len(ids), pa.bool_())], names)
+
+    return source.mapInArrow(lambda batches: by_batch(batches, work, 256), schema)

@@ -13,7 +13,7 @@ from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
 from phrasemill.llm.kmeans_tree import search
 from phrasemill.llm.lineblocks import extract_pages
-from phrasemill.llm.pieces import decode_pieces, encode_pieces, id_digests
+from phrasemill.llm.pieces import round_trip
 from phrasemill.llm.quality import score_quality
 from phrasemill.llm.simhash import hex_print, near_duplicates
 from phrasemill.llm.templates import contaminated
@@ -33,9 +33,7 @@ def op1_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded texts."""
-    ids = encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECES).drop("text")
-    out = id_digests(decode_pieces(ids, PIECES))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "library_agrees")
+    return round_trip(table(spark, folder, "documents"), PIECES)
 
 
 def op3_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
