@@ -42,7 +42,8 @@ login related recommended share sharing social toolbar widget pagination search
 form""".split())
 
 _RAW = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>")
-_TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*+)((?:[^>"']*+|"[^"]*+"|'[^']*+')*+)>""")
+# A quoted value may hold ">"; one that holds "<" is taken for a quote that nobody closed.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""")
 _NAMES = re.compile(r"""(?is)(?<![\w-])(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 _HIDDEN = re.compile(r"""(?is)(?<![\w-])hidden(?![\w-])|display\s*+:\s*+none|aria-hidden\s*+=\s*+["']?true""")
 _WORD = re.compile(r"[a-z]+")
