@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+from typing import Any
+
 from pyspark.sql import Column, functions as F
 
 
@@ -22,6 +25,17 @@ def params_text(params: dict) -> str:
     return str(dict(sorted(params.items())))
 
 
+def typed_params(params: dict[str, str]) -> dict[str, Any]:
+    """Settings of one parsed result row as the values they were written from; the embedding keys are left out."""
+    def value(text: str) -> Any:
+        try:
+            return ast.literal_eval(text)
+        except (ValueError, SyntaxError):
+            return text
+
+    return {k: value(v) for k, v in params.items() if k not in ("Sentence Embedding", "Word Embedding")}
+
+
 def params_map(text: Column) -> Column:
     """Parse that text form into a map; tuples such as ``(100, 50)`` stay whole."""
     bare = F.regexp_replace(text, r"[{}']", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phrasemill.operators.slices import SLICE_ROWS, ranked
+from phrasemill.operators.slices import ranked
 
 
 def block_number(pos: Column, size: Column, folds: int) -> Column:
@@ -17,9 +17,9 @@ def block_number(pos: Column, size: Column, folds: int) -> Column:
 
 
 def stratified_folds(df: DataFrame, folds: int, label: str = "label", order: str = "row_id",
-                     out: str = "fold", slice_rows: int = SLICE_ROWS) -> DataFrame:
+                     out: str = "fold", parts: int | None = None) -> DataFrame:
     """Add the fold number 0 .. ``folds - 1``."""
-    return (ranked(df, [label], order, slice_rows)
+    return (ranked(df, [label], order, parts)
             .withColumn(out, block_number(F.col("pos"), F.col("size"), folds)).drop("pos", "size"))
 
 

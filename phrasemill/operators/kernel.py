@@ -37,3 +37,17 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
             return pd.Series(list(np.sqrt(2.0 / count) * np.cos(x @ w + b)))
 
         return df.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(self.getInputCol()))))
+
+
+class MarginProbabilities(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Softmax of the margins of one machine per class, so that the likeliest class is the predicted one."""
+
+    def __init__(self, *, inputCol: str = "margins", outputCol: str = "probability"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        margins = vector_to_array(self.getInputCol())
+        shifted = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
+        total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.transform(shifted, lambda x: x / total)))

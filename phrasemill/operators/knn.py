@@ -3,8 +3,8 @@
 Distances are Minkowski distances, rounded to ``DIGITS`` places so that ties are
 ties on every machine; ties go to the lower training id.
 
-A training set within ``BROADCAST_BYTES`` is sent to the executors and queries
-are scored where they are, without a shuffle. A bigger one is cut into cells
+A training set within ``BROADCAST_BYTES`` is sent to the executors; the queries
+are dealt out over all cores, in one shuffle, and scored there. A bigger one is cut into cells
 around pivots; bounds from the triangle inequality tell which cells a query
 must see, and big cells and big query groups are cut into blocks, so that no
 task holds more than one block of each side. Both ways give the same result.
@@ -307,18 +307,22 @@ class KNNClassifier(Estimator, _KNNParams):
     """
 
     def __init__(self, n_neighbors: int = 5, weights: str = "uniform", p: float = 2, *,
-                 featuresCol: str = "vec", labelCol: str = "label"):
+                 featuresCol: str = "vec", labelCol: str = "label", classes: int | None = None):
         super().__init__()
         if weights not in ("uniform", "distance"):
             raise ValueError(f"unknown weights: {weights}")
         self._set(nNeighbors=n_neighbors, weights=weights, p=float(p), featuresCol=featuresCol, labelCol=labelCol)
+        self.classes = classes  # how many there are, if the training rows may lack some
 
     def _fit(self, train: DataFrame) -> "KNNModel":
         rows = train.select("row_id", *[c for c in train.columns if c in ("fold", "cv_fold")],
                             F.col(self.getLabelCol()).cast("int").alias("label"),
                             _as_array(train, self.getFeaturesCol()).alias("vec"))
-        classes = sorted(r["label"] for r in rows.select("label").distinct().collect())  # one row per category
-        return self._copyValues(KNNModel(rows, classes))
+        last = rows.agg(F.max("label")).first()[0]
+        if last is None:
+            raise ValueError("the training set is empty")
+        # Positions are labels, as in MLlib, also where a class has no training row.
+        return self._copyValues(KNNModel(rows, list(range(max(self.classes or 0, last + 1)))))
 
 
 class KNNModel(Model, _KNNParams):
@@ -328,7 +332,7 @@ class KNNModel(Model, _KNNParams):
         self._ready: dict[str | None, TrainSet] = {}
 
     def scored(self, queries: DataFrame, apart: str | None = None) -> DataFrame:
-        """Add ``neighbours``, ``votes``, ``probability`` (one per class, in label order), ``prediction``."""
+        """Add ``neighbours``, ``votes``, ``probability`` (one per label from 0), ``prediction``."""
         points = queries.withColumn("vec", _as_array(queries, self.getFeaturesCol()))
         if apart not in self._ready:  # once per model, also when it scores many micro-batches
             self._ready[apart] = TrainSet(self.train, apart)

@@ -1,10 +1,9 @@
 """Order-dependent work on groups of any size.
 
-A window over a whole group puts that group into one task. Here a group is cut
-along its order into slices, the window runs per (group, slice), and a small
-table of slice summaries carries the result across slices. ``row_id`` is a
-unique integer, so a slice of ``SLICE_ROWS`` consecutive ids can never hold
-more rows than that.
+A window over a whole group puts that group into one task. Here rows are dealt
+out by ranges of (group, order), whatever the values of the order are, so that a
+group of any size takes as many parts as it needs. Work runs per (group, part),
+and a small table with one row for each carries the result across parts.
 """
 
 from __future__ import annotations
@@ -13,56 +12,51 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from phrasemill.session import written
 
-SLICE_ROWS = 1 << 20
 
+def in_parts(df: DataFrame, *order, parts: int | None = None) -> DataFrame:
+    """Add ``_part`` and ``_no``: range parts in order, and numbers that rise by one within a part.
 
-def with_slice(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col(order) / F.lit(slice_rows)))
+    Written out, since a second run could draw the ranges differently.
+    """
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return written(dealt.sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_no")), "parts")
 
 
-def ranked(df: DataFrame, groups: list[str], order: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: str, parts: int | None = None) -> DataFrame:
     """Add ``pos`` (0-based position in the group, by ``order``) and ``size`` (rows of the group)."""
-    keys = [*groups, "_slice"]
-    cut = with_slice(df, order, slice_rows)
-    # One row per (group, slice): a millionth of the input at full slices.
-    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n"))
+    keys = [*groups, "_part"]
+    cut = in_parts(df, *groups, order, parts=parts)
+    # One row for each part and group in it.
+    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
     whole = Window.partitionBy(*groups)
     offsets = counts.select(
-        *keys,
-        (F.sum("_n").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+        *keys, "_first",
+        (F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         .alias("_before"),
         F.sum("_n").over(whole).alias("size"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return (cut.withColumn("_inside", inside).join(offsets, keys)
-            .withColumn("pos", F.col("_before") + F.col("_inside"))
-            .drop("_slice", "_before", "_inside"))
+    return (cut.join(offsets, keys).withColumn("pos", F.col("_before") + F.col("_no") - F.col("_first"))
+            .select(*df.columns, "pos", "size"))
 
 
 def running_max(df: DataFrame, groups: list[str], order: str, value: str, out: str,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Add the largest ``value`` of the group up to and including each row."""
-    keys = [*groups, "_slice"]
-    cut = with_slice(df, order, slice_rows)
+    keys = [*groups, "_part"]
+    cut = in_parts(df, *groups, order, parts=parts)
     tops = cut.groupBy(*keys).agg(F.max(value).alias("_top"))
-    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*keys, F.max("_top").over(earlier).alias("_carried"))
     local = F.max(value).over(
-        Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        Window.partitionBy(*keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0))
     return (cut.withColumn("_local", local).join(carried, keys)
             .withColumn(out, F.greatest("_local", "_carried"))
-            .drop("_slice", "_local", "_carried"))
-
+            .select(*df.columns, out))
 
-def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Add the 0-based position of each row in one order over the whole table.
 
-    Range partitions are sorted each by itself and numbered; their row counts
-    (one row per partition) give the offsets. The numbered table is written
-    out, since a second run could draw the ranges differently.
-    """
-    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = written(sorted_parts.select(
-        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_no")), "ranked")
+def global_rank(df: DataFrame, *order, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row in one order over the whole table."""
+    numbered = in_parts(df, *order, parts=parts)
     counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
     # As many rows as there are range partitions.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

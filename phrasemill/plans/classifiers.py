@@ -1,4 +1,8 @@
-"""The classifiers by name: how to build them and which settings to search."""
+"""The classifiers by name: how to build them and which settings to search.
+
+Fitted models add ``prediction`` and ``probability``, by label from 0. Iterative fits run until they rest; the
+limits are far beyond what that takes, and ``unsettled`` names the parts of a model that reached one.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,16 @@ from dataclasses import dataclass
 from itertools import product
 from typing import Any
 
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 
-from phrasemill.operators.kernel import FourierFeatures
+from phrasemill.operators.kernel import FourierFeatures, MarginProbabilities
 from phrasemill.operators.knn import KNNClassifier
 
 
+MOST_LEVELS = 30  # of a tree in Spark
+
+
 @dataclass(frozen=True)
 class Shape:
     """What an estimator has to know of its training data."""
@@ -24,43 +30,50 @@ class Shape:
 
 
 def nearest_neighbours(shape: Shape, n_neighbors: int = 5, weights: str = "uniform", p: float = 2) -> Estimator:
-    return KNNClassifier(n_neighbors, weights, p, featuresCol="features")
+    return KNNClassifier(n_neighbors, weights, p, featuresCol="features", classes=shape.classes)
 
 
 def random_forest(shape: Shape, n_estimators: int = 100, criterion: str = "gini", max_depth: int | None = None,
                   max_features: str | None = "auto", min_samples_leaf: int = 1, seed: int = 17) -> Estimator:
-    """Unlimited or deeper trees than 30 levels get 30, the most that Spark builds."""
+    """Unlimited or deeper trees than 30 levels get 30, the most that Spark builds; ``same_model`` tells which meet."""
     subset = {"auto": "sqrt", "sqrt": "sqrt", "log2": "log2", None: "all"}[max_features]
     return RandomForestClassifier(
-        numTrees=n_estimators, impurity=criterion, maxDepth=min(max_depth or 30, 30), featureSubsetStrategy=subset,
+        numTrees=n_estimators, impurity=criterion, maxDepth=min(max_depth or MOST_LEVELS, MOST_LEVELS), featureSubsetStrategy=subset,
         minInstancesPerNode=min_samples_leaf, seed=seed, maxMemoryInMB=1024)
 
 
 def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), activation: str = "logistic",
-               max_iter: int = 60, seed: int = 17) -> Estimator:
+               max_iter: int = 1000, tol: float = 1e-4, seed: int = 17) -> Estimator:
     """Spark's perceptron has logistic hidden layers only."""
     if activation != "logistic":
         raise ValueError(f"activation {activation} is not available")
     return MultilayerPerceptronClassifier(
-        layers=[shape.dim, *hidden_layer_sizes, shape.classes], maxIter=max_iter, blockSize=128, seed=seed)
+        layers=[shape.dim, *hidden_layer_sizes, shape.classes], maxIter=max_iter, tol=tol, blockSize=128, seed=seed)
 
 
-def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256, max_iter: int = 10,
+def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256, max_iter: int = 1000,
                seed: int = 17) -> Estimator:
-    """RBF support vector machine, approximated: Fourier features and one linear machine per class."""
+    """RBF support vector machine, approximated: Fourier features and one linear machine per class.
+
+    Label and probabilities come from the same margins.
+    """
     return Pipeline(stages=[
         FourierFeatures(gamma=gamma, count=features, seed=seed),
-        OneVsRest(classifier=LinearSVC(featuresCol="fourier", regParam=1.0 / (C * shape.rows), maxIter=max_iter),
-                  featuresCol="fourier", parallelism=min(shape.classes, 8))])
+        OneVsRest(classifier=LinearSVC(featuresCol="fourier", rawPredictionCol="margins", regParam=1.0 / (C * shape.rows), maxIter=max_iter),
+                  featuresCol="fourier", rawPredictionCol="margins", parallelism=min(shape.classes, 8)),
+        MarginProbabilities()])
 
 
-def kernel_svm_probabilities(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256,
-                             max_iter: int = 30, seed: int = 17) -> Estimator:
-    """Class probabilities for the same feature map, from a softmax regression."""
-    return Pipeline(stages=[
-        FourierFeatures(gamma=gamma, count=features, seed=seed),
-        LogisticRegression(featuresCol="fourier", regParam=1.0 / (C * shape.rows), maxIter=max_iter,
-                           family="multinomial")])
+def unsettled(model: Model) -> list[str]:
+    """Parts of a model fitted in this session that stopped at their limit of iterations."""
+    found = [x for stage in getattr(model, "stages", []) for x in unsettled(stage)]
+    for stage in [] if hasattr(model, "stages") else [model]:
+        for i, machine in enumerate(getattr(stage, "models", [stage])):
+            if machine.hasParam("maxIter") and getattr(machine, "hasSummary", False):
+                steps = machine.summary() if callable(machine.summary) else machine.summary
+                if steps.totalIterations >= machine.getOrDefault("maxIter"):
+                    found.append(f"{type(machine).__name__} {i}")
+    return found
 
 
 @dataclass(frozen=True)
@@ -83,6 +96,18 @@ CLASSIFIERS: dict[str, Kind] = {
 }
 
 
+def same_model(name: str, settings: dict[str, Any]) -> dict[str, Any]:
+    """The settings as Spark fits them; equal ones need one fit only."""
+    if name != "RandomForestAlgorithm":
+        return settings
+    out = dict(settings)
+    if "max_depth" in out:
+        out["max_depth"] = min(out["max_depth"] or MOST_LEVELS, MOST_LEVELS)
+    if out.get("max_features") == "auto":
+        out["max_features"] = "sqrt"
+    return out
+
+
 def combinations(grid: dict[str, list[Any]]) -> list[dict[str, Any]]:
     """All settings of a grid: names in order, the last one changing fastest."""
     names = sorted(grid)

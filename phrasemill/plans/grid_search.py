@@ -17,7 +17,8 @@ from phrasemill.functions.params import params_text
 from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
 from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
-from phrasemill.plans.classifiers import CLASSIFIERS, Shape, combinations
+from phrasemill.plans.classifiers import CLASSIFIERS, combinations, same_model
+from phrasemill.plans.score import shape_of
 from phrasemill.session import written
 
 KNN_GRID = CLASSIFIERS["NearestNeighborsAlgorithm"].grid
@@ -75,12 +76,6 @@ def knn_predictions_by_fold(rows: DataFrame, folds: int, grid: dict[str, list])
     return knn_grid_predictions(cut, grid, "fold")
 
 
-def _shape(train: DataFrame) -> Shape:
-    row = train.agg(F.count("*").alias("rows"), (F.max("label") + 1).alias("classes")).first()
-    dim = train.select(F.size("vec")).first()[0]
-    return Shape(dim, int(row["classes"]), row["rows"])
-
-
 def as_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector("vec"))
 
@@ -91,7 +86,7 @@ def cross_validate(rows: DataFrame, name: str, settings: dict[str, Any], folds:
 
     The model of a fold, with everything that is fitted, only sees the other folds.
     """
-    shape, parts = _shape(rows), []
+    shape, parts = shape_of(rows), []
     for i in range(folds):
         train, test = rows.where(F.col(fold) != i), rows.where(F.col(fold) == i)
         model = CLASSIFIERS[name].build(shape, **settings).fit(as_features(train))
@@ -117,10 +112,13 @@ def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None,
         predictions = cross_validate(train, name, one, folds, "cv_fold")
         return predictions.agg(F.round(100.0 * F.avg(correct()), 2)).first()[0]
 
+    # Settings that give the same model are fitted once.
+    distinct = {params_text(same_model(name, s)): same_model(name, s) for s in settings}
     with ThreadPool(parallelism) as pool:
-        scores = pool.map(inheritable_thread_target(spark)(score), settings)
+        found = dict(zip(distinct, pool.map(inheritable_thread_target(spark)(score), distinct.values())))
+    scores = [found[params_text(same_model(name, s))] for s in settings]
     best = settings[scores.index(max(scores))]
-    model = CLASSIFIERS[name].build(_shape(train), **best).fit(as_features(train))
+    model = CLASSIFIERS[name].build(shape_of(train), **best).fit(as_features(train))
     predictions = model.transform(as_features(split))
     word_emb, word_emb_params, sent_emb = embedding
     results = spark.createDataFrame(

@@ -77,7 +77,11 @@ SPLIT = [_ntile(5, "cut", "points"),
 HELD_OUT = POINTS + SPLIT
 
 
-def _distance(p: int) -> str:
+def _distance(p: int | str) -> str:
+    """For a power that is only known to the query, as a SQL expression, all three forms."""
+    if isinstance(p, str):
+        forms = [_distance(i) for i in (1, 2)] + [_distance(3).replace(", 3)", f", {p})").replace("1.0 / 3", f"1.0 / {p}")]
+        return f"CASE {p} WHEN 1 THEN {forms[0]} WHEN 2 THEN {forms[1]} ELSE {forms[2]} END"
     gaps = [f"(q.vec[{i}] - t.vec[{i}])" for i in range(1, DIM + 1)]
     if p == 1:
         return "round(" + " + ".join(f"abs{g}" for g in gaps) + ", 9)"
@@ -86,7 +90,8 @@ def _distance(p: int) -> str:
     return "round(pow(" + " + ".join(f"pow(abs{g}, {p})" for g in gaps) + f", 1.0 / {p}), 9)"
 
 
-def _near(queries: str, train: str, k: int, p: int, keep: str = "", cond: str = "true", name: str = "near") -> str:
+def _near(queries: str, train: str, k: int | str, p: int | str, keep: str = "", cond: str = "true",
+          name: str = "near") -> str:
     """Neighbours: query columns, ``tid``, ``tlabel``, ``d``, ``place`` (from 0), ``first`` (smallest d)."""
     return f"""{name} AS (
 SELECT *, min(d) OVER (PARTITION BY row_id) AS first FROM (
@@ -96,6 +101,7 @@ FROM {queries} q JOIN {train} t ON {cond})) WHERE place < {k})"""
 
 
 WEIGHT = {"uniform": "1.0", "distance": "CASE WHEN first = 0 THEN CAST(d = 0 AS INTEGER) ELSE 1.0 / d END"}
+WEIGHT["best"] = f"CASE (SELECT weights FROM top) WHEN 'uniform' THEN 1.0 ELSE {WEIGHT['distance']} END"
 
 
 def _votes(weights: str, keep: str, classes: str, source: str = "near") -> list[str]:
@@ -188,7 +194,7 @@ CAST(list_sum(list_transform(vec, lambda x: CAST(round(x * 1000000) AS BIGINT)))
 ORACLE["vocab_coverage"] = _with(*WORDS) + """
 SELECT count(*) AS words, count(v.word) AS covered, round(100.0 * count(v.word) / count(*), 2) AS percent
 FROM dfreq LEFT JOIN vectors v ON v.word = dfreq.word"""
-ORACLE["oov_words"] = _with(*WORDS) + "SELECT word, df FROM dfreq WHERE word NOT IN (SELECT word FROM vectors)"
+ORACLE["oov_words"] = _with(*WORDS) + "SELECT word, df FROM dfreq ANTI JOIN vectors USING (word)"
 ORACLE["token_vectors"] = _with(*WORDS, _positions("toks", "lists", "row_id")) + """
 SELECT row_id, count(*) AS covered, CAST(min(pos) AS INTEGER) AS first_pos, CAST(sum(rank) AS BIGINT) AS rank_sum,
 CAST(sum(CAST(round(vec[1] * 1000000) AS BIGINT)) AS BIGINT) AS units FROM toks JOIN vectors USING (word) GROUP BY row_id"""
@@ -228,6 +234,11 @@ CAST(coalesce(checksum, 0) AS BIGINT) AS checksum FROM lists LEFT JOIN packed US
 
 ORACLE["class_balance"] = _with(*TEXTS) + "SELECT label, count(*) AS n FROM lists GROUP BY label"
 ORACLE["stratified_folds"] = _with(*POINTS, _ntile(5, "cut", "points")) + "SELECT row_id, label, fold FROM cut"
+ORACLE["folds_sparse_ids"] = _with("points AS (SELECT (vec_id * 7919 % 1000003) * 4294967296 + vec_id AS row_id, label FROM embeddings)",
+                                   _ntile(5, "cut", "points")) + "SELECT row_id, label, fold FROM cut"
+ORACLE["labelled_file_folds"] = _with(
+    DOCS, "numbered AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, label, text FROM docs)",
+    _word_lists("lists", "numbered", "row_id, label"), _ntile(5, "cut", "lists")) + "SELECT row_id, label, fold FROM cut"
 ORACLE["nested_folds"] = _with(*HELD_OUT) + "SELECT row_id, label, is_test, coalesce(cv_fold, -1) AS cv_fold FROM split"
 # The number of folds follows from the number of rows, so both that are possible at small sizes are cut here
 # by position: the first block of a class of n rows has ceil(n / folds) rows.
@@ -245,6 +256,7 @@ FROM cut CROSS JOIN range(3, 12) a(c) CROSS JOIN range(-7, -2) b(g) GROUP BY fol
 
 ORACLE["knn_neighbors"] = _with(*HELD_OUT, _near(TEST, TRAIN, 12, 2)) + f"""
 SELECT row_id, CAST(place AS INTEGER) AS place, tid AS neighbour_id, {_r('d')} AS distance FROM near"""
+ORACLE["knn_cells"] = ORACLE["knn_neighbors"]
 ORACLE["knn_predict"] = _with(*_predict("uniform", 12, 2)) + "SELECT row_id, label, prediction FROM predicted"
 ORACLE["knn_predict_weighted"] = _with(*_predict("distance", 12, 1)) + "SELECT row_id, label, prediction FROM predicted"
 SHARES = f"""SELECT row_id, CAST((SELECT count(*) FROM ({POINT_CLASSES}) c WHERE c.tlabel < votes.tlabel) AS INTEGER) AS pos,
@@ -281,15 +293,15 @@ GROUP BY row_id, label, fold, p, n_neighbors, weights, tlabel)
 QUALIFY row_number() OVER (PARTITION BY row_id, p, n_neighbors, weights ORDER BY v DESC, tlabel) = 1)"""]
 
 
-SMALL = _grid([1, 5, 12], [2], "cut", "fold")
-ORACLE["cv_micro"] = _with(*FOLDS, *SMALL) + """
-SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, weights,
-round(100.0 * avg(CAST(label = prediction AS INTEGER)), 6) AS cv FROM picked GROUP BY ALL"""
-ORACLE["cv_macro"] = _with(*FOLDS, *SMALL) + """
-SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, weights, round(100.0 * avg(m), 6) AS cv FROM (
-SELECT n_neighbors, weights, fold, avg(CAST(label = prediction AS INTEGER)) AS m FROM picked GROUP BY ALL)
-GROUP BY n_neighbors, weights"""
 GRID = CLASSIFIERS["NearestNeighborsAlgorithm"].grid
+WHOLE = _grid(GRID["n_neighbors"], GRID["p"], "cut", "fold")
+ORACLE["cv_micro"] = _with(*FOLDS, *WHOLE) + """
+SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, CAST(p AS INTEGER) AS p, weights,
+round(100.0 * avg(CAST(label = prediction AS INTEGER)), 6) AS cv FROM picked GROUP BY ALL"""
+ORACLE["cv_macro"] = _with(*FOLDS, *WHOLE) + """
+SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, CAST(p AS INTEGER) AS p, weights, round(100.0 * avg(m), 6) AS cv FROM (
+SELECT n_neighbors, p, weights, fold, avg(CAST(label = prediction AS INTEGER)) AS m FROM picked GROUP BY ALL)
+GROUP BY n_neighbors, p, weights"""
 ORACLE["grid_search_knn"] = _with(*HELD_OUT, *_grid(GRID["n_neighbors"], GRID["p"], TRAIN, "cv_fold")) + """
 SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, CAST(p AS INTEGER) AS p, weights,
 round(100.0 * avg(CAST(label = prediction AS INTEGER)), 2) AS cv FROM picked GROUP BY n_neighbors, p, weights"""
@@ -305,12 +317,13 @@ ORACLE["score_texts"] = _with(
     *TEXT_POINTS, *CHAT, _near("chat_points", "points", 12, 1, ", q.conv_id, q.turn"),
     *_votes("distance", "conv_id, turn", POINT_CLASSES)) + f"""
 SELECT conv_id, turn, {CATS}[tlabel + 1] AS category, round(100.0 * share, 2) AS percent FROM votes"""
-ORACLE["mine_stream"] = _with(
-    *TEXT_POINTS, MESSAGES, _word_lists("message_lists", "messages", "row_id"),
-    _sums("message_points", "message_lists", "row_id"), _near("message_points", "points", 12, 1),
-    *_votes("uniform", "", POINT_CLASSES)) + f"""
-SELECT row_id, prediction, {_r('best')} AS best, md5(text) AS digest FROM predicted JOIN messages USING (row_id)
+MINING = [*TEXT_POINTS, MESSAGES, _word_lists("message_lists", "messages", "row_id"),
+          _sums("message_points", "message_lists", "row_id")]
+MINED = f"""prediction, {_r('best')} AS best, md5(text) AS digest FROM predicted JOIN messages USING (row_id)
 WHERE row_id IN (SELECT row_id FROM votes WHERE share >= 0.7 AND tlabel < (SELECT max(label) FROM points))"""
+MINE = _with(*MINING, _near("message_points", "points", 12, 1), *_votes("uniform", "", POINT_CLASSES))
+ORACLE["mine_stream"] = MINE + "SELECT row_id, " + MINED
+ORACLE["mine_messages"] = MINE + "SELECT CASE WHEN row_id % 3 > 0 THEN row_id % 7 ELSE -1 END AS id, " + MINED
 
 # Choosing texts
 
@@ -368,7 +381,22 @@ max(cv) OVER (PARTITION BY classifier, sent_emb ORDER BY line_no) AS so_far FROM
 ORACLE["param_profile"] = _with(RESULTS) + f"""
 SELECT classifier, CAST(n_neighbors AS VARCHAR) AS param_value, {MEAN} AS average, min(cv) AS lowest,
 max(cv) AS highest FROM results GROUP BY classifier, n_neighbors"""
+ORACLE["param_values"] = _with(RESULTS) + """
+SELECT CAST(n_neighbors AS VARCHAR) AS param_value, CAST(n_neighbors AS DOUBLE) AS number,
+CAST(row_number() OVER (ORDER BY n_neighbors) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT n_neighbors FROM results)"""
 ORACLE["param_pair_profile"] = _with(RESULTS) + f"""
 SELECT classifier, CAST(n_neighbors AS DOUBLE) AS first, CAST(p AS DOUBLE) AS second, max(cv) AS highest,
 least(max(cv), 100.0) AS capped, {_r('log2(n_neighbors)')} AS log2_first, {_r('log2(p)')} AS log2_second
 FROM results GROUP BY classifier, n_neighbors, p"""
+
+# The best setting of the result log, as a neighbour search over the texts
+
+TOP = "top AS (SELECT n_neighbors, p, weights FROM results WHERE cv > 0 ORDER BY cv DESC, line_no LIMIT 1)"
+TOP_K, TOP_P = "(SELECT n_neighbors FROM top)", "(SELECT p FROM top)"
+ORACLE["score_best"] = _with(
+    RESULTS, TOP, *TEXT_POINTS, *CHAT, _near("chat_points", "points", TOP_K, TOP_P, ", q.conv_id, q.turn"),
+    *_votes("best", "conv_id, turn", POINT_CLASSES)) + f"""
+SELECT conv_id, turn, {CATS}[tlabel + 1] AS category, round(100.0 * share, 2) AS percent FROM votes"""
+ORACLE["mine_best"] = _with(
+    RESULTS, TOP, *MINING, _near("message_points", "points", TOP_K, TOP_P), *_votes("best", "", POINT_CLASSES)) + (
+    "SELECT row_id, " + MINED)

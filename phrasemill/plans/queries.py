@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phrasemill.functions.params import log_range
@@ -18,17 +17,16 @@ from phrasemill.operators.lookup import attach_vectors, token_stream, unknown_wo
 from phrasemill.operators.select import expand_training_set, select_labelled
 from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_similarity
 from phrasemill.plans import analysis, grid_search, sweep, tables
-from phrasemill.plans.classifiers import CLASSIFIERS, Shape, kernel_svm_probabilities
-from phrasemill.plans.score import is_confident, score_texts
+from phrasemill.plans.score import class_scores, fit_best, fit_classifier, is_confident, score_texts
 from phrasemill.session import new_path, spread_small
 from phrasemill.sources import results, texts, vectors as vector_source
-from phrasemill.streaming.miner import mine_to_table, prefilter
+from phrasemill.streaming.miner import mine_to_table, parse_messages, prefilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 N = len(tables.CATEGORIES)
 BEST = {"n_neighbors": 12, "weights": "distance", "p": 1}
-SMALL_GRID = {"n_neighbors": [1, 5, 12], "p": [2], "weights": ["uniform", "distance"]}
+RECORDED = {"n_estimators": 1000, "criterion": "gini", "max_features": "sqrt", "max_depth": 20}  # the best forest on record
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -98,14 +96,14 @@ def ascii_fold_texts(spark, folder):
 
 
 def _messages(frame: DataFrame) -> DataFrame:
-    return frame.select(F.col("doc_id").alias("row_id"), "lang", "text")
+    return frame.select(F.col("doc_id").alias("id"), "lang", "text")
 
 
 @query("stream_prefilter")
 def stream_prefilter(spark, folder):
     stored = spread_small(tables.table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
     return prefilter(_messages(stored)).select(
-        "row_id", token_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("digest"))
+        F.col("id").alias("row_id"), token_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("digest"))
 
 
 # Words
@@ -231,6 +229,23 @@ def stratified_folds_points(spark, folder):
     return stratified_folds(tables.points(spark, folder).select("row_id", "label"), 5)
 
 
+@query("folds_sparse_ids")
+def folds_sparse_ids(spark, folder):
+    """Folds over ids far apart, as hashes are."""
+    far = (F.col("row_id") * 7919 % 1000003) * (1 << 32) + F.col("row_id")
+    return stratified_folds(tables.points(spark, folder).select(far.alias("row_id"), "label"), 5)
+
+
+@query("labelled_file_folds")
+def labelled_file_folds(spark, folder):
+    """Folds over the lines of text files, numbered as they stand in the files."""
+    path = new_path(spark, "lines")
+    lines = tables.texts(spark, folder).repartitionByRange(4, "row_id").sortWithinPartitions("row_id").select(
+        F.concat_ws(" ", F.col("label").cast("string"), F.regexp_replace("text", "[\r\n]+", " ")).alias("value"))
+    lines.write.text(path)
+    return stratified_folds(texts.read_labelled(spark, path).select("row_id", "label"), 5)
+
+
 @query("nested_folds")
 def nested_folds_points(spark, folder):
     cut = nested_folds(tables.points(spark, folder).select("row_id", "label"), 5)
@@ -280,6 +295,15 @@ def knn_neighbors(spark, folder):
         "row_id", "place", F.col("n.row_id").alias("neighbour_id"), rounded(F.col("n.distance")).alias("distance"))
 
 
+@query("knn_cells")
+def knn_cells(spark, folder):
+    """The same search by the way for training sets that are too big to send out."""
+    split = _held_out(spark, folder)
+    found = neighbours(split.where("is_test").select("row_id", "vec"), split.where(~F.col("is_test")), 12, 2, budget=0)
+    return found.select("row_id", F.posexplode("neighbours").alias("place", "n")).select(
+        "row_id", "place", F.col("n.row_id").alias("neighbour_id"), rounded(F.col("n.distance")).alias("distance"))
+
+
 @query("knn_predict")
 def knn_predict(spark, folder):
     return _predicted(spark, folder, n_neighbors=12, p=2).select("row_id", "label", "prediction")
@@ -320,14 +344,14 @@ def cross_validate_knn(spark, folder):
 
 @query("cv_micro")
 def cv_micro(spark, folder):
-    predictions = grid_search.knn_predictions_by_fold(tables.points(spark, folder), 5, SMALL_GRID)
-    return evaluate.cv_micro(predictions, "n_neighbors", "weights")
+    predictions = grid_search.knn_predictions_by_fold(tables.points(spark, folder), 5, grid_search.KNN_GRID)
+    return evaluate.cv_micro(predictions, "n_neighbors", "p", "weights")
 
 
 @query("cv_macro")
 def cv_macro(spark, folder):
-    predictions = grid_search.knn_predictions_by_fold(tables.points(spark, folder), 5, SMALL_GRID)
-    return evaluate.cv_macro(predictions, "n_neighbors", "weights")
+    predictions = grid_search.knn_predictions_by_fold(tables.points(spark, folder), 5, grid_search.KNN_GRID)
+    return evaluate.cv_macro(predictions, "n_neighbors", "p", "weights")
 
 
 @query("grid_search_knn")
@@ -357,10 +381,47 @@ def score_texts_chat(spark, folder):
 def mine_stream(spark, folder):
     rows, vectors = tables.text_points(spark, folder)
     model = KNNClassifier(n_neighbors=12, p=1).fit(rows)
+    return mine_to_table(_message_stream(spark, folder), vectors, model).select(
+        F.col("id").alias("row_id"), "prediction", "best", F.md5("text").alias("digest"))
+
+
+def _message_stream(spark, folder):
     schema = tables.table(spark, folder, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    return mine_to_table(_messages(stream), vectors, model).select(
-        "row_id", "prediction", "best", F.md5("text").alias("digest"))
+    return _messages(stream)
+
+
+@query("mine_messages")
+def mine_messages(spark, folder):
+    """A stream of JSON messages, a third of them without an id and the others with ids that repeat."""
+    path = new_path(spark, "messages")
+    some_id = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7)
+    tables.table(spark, folder, "documents").select(
+        F.to_json(F.struct(some_id.alias("id"), "lang", "text")).alias("value")).write.text(path)
+    rows, vectors = tables.text_points(spark, folder)
+    model = KNNClassifier(n_neighbors=12, p=1).fit(rows)
+    return mine_to_table(parse_messages(spark.readStream.text(path)), vectors, model).select(
+        F.coalesce("id", F.lit(-1)).alias("id"), "prediction", "best", F.md5("text").alias("digest"))
+
+
+def _best_model(spark, folder, rows):
+    """The best setting of the result log, read as a log of neighbour searches."""
+    lines = tables.result_lines(spark, folder).withColumn("classifier", F.lit("NearestNeighborsAlgorithm"))
+    return fit_best(results.parse_results(lines), rows, N)
+
+
+@query("score_best")
+def score_best(spark, folder):
+    rows, vectors = tables.text_points(spark, folder)
+    return score_texts(_best_model(spark, folder, rows), tables.chat_texts(spark, folder), vectors,
+                       tables.categories(spark), ["row_id", "conv_id", "turn"]).drop("row_id")
+
+
+@query("mine_best")
+def mine_best(spark, folder):
+    rows, vectors = tables.text_points(spark, folder)
+    found = mine_to_table(_message_stream(spark, folder), vectors, _best_model(spark, folder, rows), classes=N)
+    return found.select(F.col("id").alias("row_id"), "prediction", "best", F.md5("text").alias("digest"))
 
 
 # Choosing texts
@@ -447,6 +508,11 @@ def param_profile(spark, folder):
     return analysis.param_profile(_results(spark, folder), "n_neighbors")
 
 
+@query("param_values")
+def param_values(spark, folder):
+    return analysis.param_values(_results(spark, folder), "n_neighbors")
+
+
 @query("param_pair_profile")
 def param_pair_profile(spark, folder):
     pairs = analysis.param_pair_profile(_results(spark, folder), "n_neighbors", "p")
@@ -460,35 +526,25 @@ def param_pair_profile(spark, folder):
 def _fitted(spark, folder, name, **settings):
     rows, _ = tables.text_points(spark, folder)
     split = grid_search.split_rows(rows)
-    train = split.where(~F.col("is_test"))
-    shape = Shape(train.select(F.size("vec")).first()[0], N, train.count())
-    model = CLASSIFIERS[name].build(shape, **settings).fit(grid_search.as_features(train))
-    return split, shape, model.transform(grid_search.as_features(split.where("is_test")))
-
-
-def _classes(df: DataFrame) -> DataFrame:
-    return df.select("row_id", "label", F.col("prediction").cast("int").alias("prediction"),
-                     *[F.round(F.get(vector_to_array("probability"), F.lit(i)), 6).alias(f"p_{c}")
-                       for i, c in enumerate(tables.CATEGORIES)])
+    model = fit_classifier(name, settings, split.where(~F.col("is_test")), N)
+    return class_scores(model, split.where("is_test")).select(
+        "row_id", "label", "prediction", *[F.round(F.get("probability", F.lit(i)), 6).alias(f"p_{c}")
+                                           for i, c in enumerate(tables.CATEGORIES)])
 
 
 @query("rf_predict")
 def rf_predict(spark, folder):
-    return _classes(_fitted(spark, folder, "RandomForestAlgorithm", n_estimators=50, max_depth=10)[2])
+    return _fitted(spark, folder, "RandomForestAlgorithm", **RECORDED)
 
 
 @query("mlp_predict")
 def mlp_predict(spark, folder):
-    return _classes(_fitted(spark, folder, "MLPAlgorithm")[2])
+    return _fitted(spark, folder, "MLPAlgorithm")
 
 
 @query("svm_predict")
 def svm_predict(spark, folder):
-    settings = {"C": 1000.0, "gamma": 1e-5}
-    split, shape, predicted = _fitted(spark, folder, "SvmAlgorithm", **settings)
-    likely = kernel_svm_probabilities(shape, **settings).fit(grid_search.as_features(split.where(~F.col("is_test"))))
-    sure = _classes(likely.transform(grid_search.as_features(split.where("is_test")))).drop("label", "prediction")
-    return predicted.select("row_id", "label", F.col("prediction").cast("int").alias("prediction")).join(sure, "row_id")
+    return _fitted(spark, folder, "SvmAlgorithm", C=1000.0, gamma=1e-5)
 
 
 @query("grid_search_rf")

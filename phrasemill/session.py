@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # "local-cluster" has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _own_folders:
         _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -45,6 +48,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what is stored at ``path``, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def kept_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As ``written``, for a table that nobody reads after the block; it is deleted then."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        removed(spark, path)
+
+
 def fits(df: DataFrame, row_bytes: int, budget: int) -> bool:
     """True if ``df`` has at most ``budget`` bytes, for rows of ``row_bytes``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phrasemill.functions.tokens import words_of
+from phrasemill.operators.slices import global_rank
 
 DESCRIPTOR = "Title string, Categories array<string>, Size int"
 
@@ -14,8 +15,8 @@ def _label(line: Column) -> Column:
 
 
 def _rest(line: Column) -> Column:
-    """Everything after the first space."""
-    return F.regexp_replace(line, "^[^ ]* ", "")
+    """Everything after the first space; nothing if there is none."""
+    return F.when(F.instr(line, " ") > 0, F.regexp_replace(line, "^[^ ]* ", "")).otherwise("")
 
 
 def tokenised(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -35,8 +36,17 @@ def parse_labelled(lines: DataFrame, line: str = "value") -> DataFrame:
     return tokenised(parts)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(row_id, value)``: all lines of the files at ``path``, numbered from 0 by file name and place in the file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    return global_rank(lines, "_file", "_block", "_line", name="row_id").select("row_id", "value")
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    return parse_labelled(spark.read.text(path))
+    """``(row_id, label, words)`` of ``<int label> <text>`` lines."""
+    return parse_labelled(numbered_lines(spark, path))
 
 
 def processed_line(label: Column, words: Column) -> Column:
@@ -54,7 +64,7 @@ def parse_processed(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    return parse_processed(spark.read.text(path))
+    return parse_processed(numbered_lines(spark, path))
 
 
 def write_descriptor(descriptor: DataFrame, path: str) -> None:

@@ -25,11 +25,11 @@ def folds_by_hand(rows, folds):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [7, 1 << 20])
+@pytest.mark.parametrize("parts", [1, 7, None])
 @pytest.mark.parametrize("folds", [3, 5])
-def test_folds(spark, folds, slice_rows):
+def test_folds(spark, folds, parts):
     df = spark.createDataFrame(ROWS, "row_id long, label int").orderBy(F.rand(3))
-    got = {r.row_id: r.fold for r in stratified_folds(df, folds, slice_rows=slice_rows).collect()}
+    got = {r.row_id: r.fold for r in stratified_folds(df, folds, parts=parts).collect()}
     assert got == folds_by_hand(ROWS, folds)
 
 
@@ -48,12 +48,12 @@ def test_sample(spark):
     assert got == {i for i, f in folds_by_hand(ROWS, 3).items() if f == 0}
 
 
-@pytest.mark.parametrize("slice_rows", [5, 1 << 20])
-def test_running_max(spark, slice_rows):
+@pytest.mark.parametrize("parts", [1, 5, None])
+def test_running_max(spark, parts):
     rng = random.Random(5)
     rows = [(i, "a" if rng.random() < 0.7 else "b", rng.randint(0, 1000) / 10) for i in range(300)]
     df = spark.createDataFrame(rows, "line_no long, g string, v double")
-    got = {r.line_no: r.m for r in running_max(df, ["g"], "line_no", "v", "m", slice_rows).collect()}
+    got = {r.line_no: r.m for r in running_max(df, ["g"], "line_no", "v", "m", parts).collect()}
     top, want = {}, {}
     for i, g, v in rows:
         top[g] = max(top.get(g, v), v)
@@ -66,3 +66,12 @@ def test_global_rank(spark):
     df = spark.createDataFrame(rows, "word string, df int").repartition(6)
     got = {r.word: r["rank"] for r in global_rank(df, F.desc("df"), F.asc("word")).collect()}
     assert got == {w: i for i, (w, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_ids_far_apart(spark):
+    """A class of any ids is ranked in parts, not by one task."""
+    rows = [((i * 7919 % 1000003) << 40, i % 2) for i in range(400)]
+    got = {r.row_id: r.fold for r in stratified_folds(spark.createDataFrame(rows, "row_id long, label int"), 5).collect()}
+    assert got == folds_by_hand(rows, 5)
+    df = stratified_folds(spark.createDataFrame(rows, "row_id long, label int"), 5)
+    assert "Window [row_number" not in df._jdf.queryExecution().executedPlan().toString()

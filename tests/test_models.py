@@ -8,7 +8,10 @@ from phrasemill.operators.knn import KNNClassifier
 from phrasemill.operators.reduce import project
 from phrasemill.plans import grid_search as gs
 from phrasemill.plans import sweep
-from phrasemill.plans.classifiers import CLASSIFIERS, Shape, kernel_svm_probabilities, perceptron
+from phrasemill.functions.params import params_text
+from phrasemill.plans.classifiers import CLASSIFIERS, Shape, combinations, perceptron, same_model, unsettled
+from phrasemill.plans.score import best_settings, class_scores, fit_best, fit_classifier
+from phrasemill.sources.results import parse_results
 
 
 @pytest.fixture(scope="module")
@@ -42,30 +45,56 @@ def test_fourier_features_come_near_the_kernel(spark, clusters):
     assert np.abs(z @ z.T - kernel).max() < 0.1
 
 
-@pytest.mark.parametrize("name,settings", [
+SETTINGS = [
     ("RandomForestAlgorithm", {"n_estimators": 10, "max_depth": None, "criterion": "entropy", "max_features": "log2"}),
-    ("MLPAlgorithm", {"hidden_layer_sizes": (8, 6), "max_iter": 40}),
-    ("SvmAlgorithm", {"C": 10.0, "gamma": 0.01, "features": 128, "max_iter": 10}),
-    ("NearestNeighborsAlgorithm", {"n_neighbors": 5}),
-])
-def test_classifiers(spark, clusters, name, settings):
+    ("MLPAlgorithm", {"hidden_layer_sizes": (8, 6)}),
+    ("SvmAlgorithm", {"C": 10.0, "gamma": 0.01}),
+    ("NearestNeighborsAlgorithm", {"n_neighbors": 5, "p": 1, "weights": "distance"}),
+]
+
+
+@pytest.mark.parametrize("name,settings", SETTINGS)
+def test_one_contract(spark, clusters, name, settings):
+    """Every kind gives a label and probabilities by label that agree, also where a class has no training row."""
     split = gs.split_rows(clusters)
-    train, test = split.where("not is_test"), split.where("is_test")
-    model = CLASSIFIERS[name].build(Shape(5, 3, train.count()), **settings).fit(gs.as_features(train))
-    got = model.transform(gs.as_features(test))
-    assert got.count() == test.count()
-    assert got.where("label = prediction").count() / test.count() > 0.9
-
-
-def test_probabilities(spark, clusters):
-    likely = kernel_svm_probabilities(Shape(5, 3, 150), C=10.0, gamma=0.01).fit(gs.as_features(clusters))
-    sums = [sum(r.p) for r in likely.transform(gs.as_features(clusters)).select(
-        vector_to_array("probability").alias("p")).collect()]
-    assert np.allclose(sums, 1)
+    train, test = split.where("not is_test"), split.where("is_test").drop("is_test", "cv_fold")
+    for known in (train, train.where("label != 1")):
+        model = fit_classifier(name, settings, known, classes=4)
+        got = class_scores(model, test)
+        assert got.columns == ["row_id", "label", "prediction", "probability"]
+        rows = got.collect()
+        seen = {r.label for r in known.select("label").distinct().collect()}
+        hits = [r.prediction == r.label for r in rows if r.label in seen]
+        assert len(rows) == test.count() and np.mean(hits) > 0.9
+        for r in rows:
+            assert len(r.probability) in (3, 4) and sum(r.probability) == pytest.approx(1)
+            assert r.probability[r.prediction] == pytest.approx(max(r.probability)) and r.prediction in seen
+        assert unsettled(model) == []
+
+
+@pytest.mark.parametrize("name,settings", SETTINGS)
+def test_best_of_a_result_table(spark, clusters, name, settings):
+    """A line of a result file is enough to fit its model again."""
+    lines = [(1, name, f"GloveEmbedding;g.txt,200;SumEmbedding;{params_text(settings)};95.10"),
+             (2, name, "GloveEmbedding;g.txt,200;SumEmbedding;{'n_neighbors': 1};80.00")]
+    found = parse_results(spark.createDataFrame(lines, "line_no long, classifier string, value string"))
+    searched = CLASSIFIERS[name].grid
+    assert best_settings(found) == (name, {k: v for k, v in settings.items() if k in searched}, "SumEmbedding")
+    assert class_scores(fit_best(found.where("line_no = 1"), clusters), clusters).where("label = prediction").count() > 135
+
+
+def test_settings_that_are_one_model():
+    forests = [same_model("RandomForestAlgorithm", s) for s in combinations(CLASSIFIERS["RandomForestAlgorithm"].grid)]
+    assert len(forests) == 36 and len({params_text(s) for s in forests}) == 20
     with pytest.raises(ValueError):
         perceptron(Shape(5, 3, 150), activation="relu")
 
 
+def test_limit_is_reported(spark, clusters):
+    model = fit_classifier("SvmAlgorithm", {"C": 10.0, "gamma": 0.01, "max_iter": 1}, clusters)
+    assert len(unsettled(model)) == 3
+
+
 def test_knn_grid_matches_single_runs(spark, clusters):
     grid = {"n_neighbors": [1, 3, 8], "p": [1, 2], "weights": ["uniform", "distance"]}
     noisy = clusters.withColumn("label", F.when(F.col("row_id") % 7 == 0, 0).otherwise(F.col("label")))

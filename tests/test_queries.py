@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from phrasemill.plans import oracle, queries as plain
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = plain.QUERIES, oracle.ORACLE
 WITHOUT_SQL = {"rf_predict", "mlp_predict", "svm_predict", "grid_search_rf", "pca_project", "project_texts_3d",
                "project_words_3d", "pca_sweep", "decision_grid"}
 
@@ -31,6 +32,7 @@ def rows(frame):
 
 def test_every_query_is_listed():
     assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(QUERIES)
+    assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -1,11 +1,13 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from phrasemill.operators.knn import KNNClassifier
 from phrasemill.plans.score import score_texts, vectors_of
-from phrasemill.streaming.miner import confident_texts, mine, mined, parse_messages, prefilter
+from phrasemill.session import shared_dir
+from phrasemill.streaming.miner import confident_texts, mine, mine_to_table, mined, parse_messages, prefilter
 
 MESSAGES = [
     {"id": 1, "lang": "en", "text": "ball goal ball goal ball"},
@@ -44,13 +46,13 @@ def test_stream_equals_batch(spark, vectors, model, tmp_path):
     def run():
         stream = parse_messages(spark.readStream.text(str(source)))
         mine(stream, vectors, model, out, progress).awaitTermination()
-        return {r.row_id: (r.text, r.prediction) for r in mined(spark, out).collect()}
+        return {r.id: (r.text, r.prediction) for r in mined(spark, out).collect()}
 
     assert set(run()) == {1}
     write(source / "2.json", MESSAGES[4:])
     got = run()  # goes on where it stopped
-    batch = prefilter(parse_messages(spark.read.text(str(source))))
-    want = {r.row_id: (r.text, r.prediction) for r in confident_texts(batch, vectors, model, 0.7, False).collect()}
+    batch = prefilter(parse_messages(spark.read.text(str(source)))).withColumn("row_id", F.col("id"))
+    want = {r.id: (r.text, r.prediction) for r in confident_texts(batch, vectors, model, 0.7, False).collect()}
     assert got == want
     # The line break joins the words around it; 6 falls in the last class, which does not count.
     assert got == {1: ("ball goal ball goal ball", 0), 5: ("song songsong tune tune song", 1)}
@@ -73,3 +75,44 @@ def test_score_texts(spark, vectors, model):
     best = {r.row_id: r.category for r in got.where(F.col("percent") > 50).collect()}
     assert best == {1: "Sport", 2: "Politics"}
     assert got.groupBy("row_id").agg(F.sum("percent").alias("s")).where("abs(s - 100) > 0.02").isEmpty()
+
+
+def test_ids_do_not_matter(spark, vectors, model, tmp_path):
+    """Messages without an id, and different ones with the same, are rows of their own."""
+    source = tmp_path / "in"
+    source.mkdir()
+    texts = ["ball goal ball goal ball", "song tune song tune song", "ball goal ball goal ball", "goal ball goal ball goal"]
+    write(source / "1.json", [{"lang": "en", "text": texts[0]}, {"lang": "en", "text": texts[1]}, {"id": 7, "lang": "en", "text": texts[2]},
+                              {"id": 7, "lang": "en", "text": texts[1]}, {"id": None, "lang": "en", "text": texts[3]}, {"lang": "en"}])
+    stream = parse_messages(spark.readStream.text(str(source)))
+    got = mine_to_table(stream, vectors, model).collect()
+    assert sorted((str(r.id), r.text, r.prediction) for r in got) == sorted(
+        [("None", texts[0], 0), ("None", texts[1], 1), ("7", texts[2], 0), ("7", texts[1], 1), ("None", texts[3], 0)])
+
+
+def test_no_message_ever(spark, vectors, model, tmp_path):
+    (tmp_path / "in").mkdir()
+    found = mine_to_table(parse_messages(spark.readStream.text(str(tmp_path / "in"))), vectors, model)
+    assert found.columns == ["id", "text", "prediction", "best", "batch"] and found.count() == 0
+
+
+def test_batches_leave_nothing_behind(spark, vectors, model, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/1.json", MESSAGES)
+    before = set(os.listdir(shared_dir(spark)))
+    mine_to_table(parse_messages(spark.readStream.text(str(tmp_path / "in"))), vectors, model).count()
+    assert not [f for f in set(os.listdir(shared_dir(spark))) - before if f.startswith("messages-")]
+
+
+def test_class_without_training_rows(spark, vectors):
+    """Probabilities stand at their label's place, and a category that nobody trained has none."""
+    texts = [(i, 2 * (i % 2), " ".join([["ball", "goal"], ["vote", "law"]][i % 2] * (1 + i // 2))) for i in range(8)]
+    known = spark.createDataFrame(texts, "row_id long, label int, text string")
+    gap = KNNClassifier(3).fit(vectors_of(known, vectors, ["row_id", "label"]))
+    asked = spark.createDataFrame([(1, "vote law vote law vote")], "row_id long, text string")
+    names = spark.createDataFrame([(0, "Sport"), (1, "Music"), (2, "Politics"), (3, "Other")], "idx int, name string")
+    got = {r.category: r.percent for r in score_texts(gap, asked, vectors, names, ["row_id"]).collect()}
+    assert got == {"Sport": 0.0, "Music": 0.0, "Politics": 100.0, "Other": 0.0}
+    # With four categories, the third is a real one; the model alone would take it for the last.
+    assert confident_texts(asked, vectors, gap, 0.7, False, classes=4).count() == 1
+    assert confident_texts(asked, vectors, gap, 0.7, False).count() == 0
