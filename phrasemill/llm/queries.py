@@ -56,8 +56,8 @@ def op5_zstd_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, from labels of three folds of four."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    known = docs.join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id").filter(~held_out)
-    scored = score_toxicity(docs, toxicity.fit(known)).drop("text")
+    labels = table(spark, folder, "labels").filter(~held_out)
+    scored = score_toxicity(docs, toxicity.fit(docs, labels)).drop("text")
     return scored.select("doc_id", held_out.alias("held_out"), "score",
                          (F.col("score") >= toxicity.SCORE_CUT).cast("int").alias("predicted"))
 

@@ -160,16 +160,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = FIT_DOCS) -> Model:
-    """A model from labelled rows: at most ``most`` of them, by hash of the key, copies of a text once.
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+        most: int = FIT_DOCS) -> Model:
+    """A model from the texts of ``df`` that ``labels`` (key, label) has a label for.
 
-    Rows with a null label are left out, null texts count as empty. With one
+    At most ``most`` labels are used, chosen by hash of the key, and copies of
+    a text once; so the texts to fit on are picked where they lie. Labels that
+    are null or have no text are left out, null texts count as empty. With one
     class only, every score is that class's share.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), whole(text).alias("text"), F.col(label).cast("int").alias("y")).filter(
-        "y is not null")
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(most).dropDuplicates(["text", "y"])
+    chosen = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).dropna().orderBy(
+        F.xxhash64("key"), "key", "y").limit(most)
+    rows = df.select(F.col(key).alias("key"), whole(text).alias("text"))
+    sample = rows.join(F.broadcast(chosen), "key").dropDuplicates(["text", "y"])
     sample = written(sample.repartition(parts_for(spark), F.xxhash64("key")).select("text", "y"), "toxicity-fit")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n = (sizes.get(0, 0), sizes.get(1, 0))

@@ -66,8 +66,8 @@ ROWS = [(1, "fine words here", "z"), (None, None, "z"), (2, "", None), (2, "", N
 def test_odd_rows(spark, labels):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, score string")
     known = spark.createDataFrame([(*r[:2], y) for r, y in zip(ROWS, labels, strict=False)], "doc_id long, text string, toxic int")
-    for scored in (toxicity.score_toxicity(df, toxicity.fit(known)),
+    for scored in (toxicity.score_toxicity(df, toxicity.fit(df, known)),
                    quality.score_quality(df, known.filter("toxic = 1").select("doc_id"))):
         assert all(0 <= r.score <= 1 for r in scored.collect()) and scored.count() == 5
-    assert toxicity.score_toxicity(df.limit(0), toxicity.fit(known.limit(0))).count() == 0
+    assert toxicity.score_toxicity(df.limit(0), toxicity.fit(df, known.limit(0))).count() == 0
     assert quality.score_quality(df.limit(0), known.select("doc_id").limit(0)).count() == 0
