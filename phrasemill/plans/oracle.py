@@ -325,6 +325,12 @@ MINE = _with(*MINING, _near("message_points", "points", 12, 1), *_votes("uniform
 ORACLE["mine_stream"] = MINE + "SELECT row_id, " + MINED
 ORACLE["mine_messages"] = MINE + "SELECT CASE WHEN row_id % 3 > 0 THEN row_id % 7 ELSE -1 END AS id, " + MINED
 
+# Fitted models: every held-out text, and what must hold for it
+
+for _name in ("rf_predict", "mlp_predict", "svm_predict"):
+    ORACLE[_name] = _with(*TEXTS, _ntile(5, "cut", "lists")) + """
+SELECT row_id, label, true AS consistent, true AS in_band, true AS settled FROM cut WHERE fold = 0"""
+
 # Choosing texts
 
 ORACLE["select_labelled"] = f"""

@@ -17,8 +17,9 @@ from phrasemill.operators.lookup import attach_vectors, token_stream, unknown_wo
 from phrasemill.operators.select import expand_training_set, select_labelled
 from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_similarity
 from phrasemill.plans import analysis, grid_search, sweep, tables
+from phrasemill.plans.classifiers import unsettled
 from phrasemill.plans.score import class_scores, fit_best, fit_classifier, is_confident, score_texts
-from phrasemill.session import new_path, spread_small
+from phrasemill.session import new_path, spread_small, written
 from phrasemill.sources import results, texts, vectors as vector_source
 from phrasemill.streaming.miner import mine_to_table, parse_messages, prefilter
 
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 N = len(tables.CATEGORIES)
 BEST = {"n_neighbors": 12, "weights": "distance", "p": 1}
+BAND = 0.85  # share of held-out texts that every kind of model gets right
 RECORDED = {"n_estimators": 1000, "criterion": "gini", "max_features": "sqrt", "max_depth": 20}  # the best forest on record
 
 
@@ -521,15 +523,20 @@ def param_pair_profile(spark, folder):
                         rounded(F.col("log2_second")).alias("log2_second"))
 
 
-# Fitted models: rows are checked, values depend on random draws
+# Fitted models: values depend on random draws, so a row tells whether label and probabilities agree, whether
+# the model is as good as it should be, and whether its fit came to rest
 
 def _fitted(spark, folder, name, **settings):
     rows, _ = tables.text_points(spark, folder)
     split = grid_search.split_rows(rows)
     model = fit_classifier(name, settings, split.where(~F.col("is_test")), N)
-    return class_scores(model, split.where("is_test")).select(
-        "row_id", "label", "prediction", *[F.round(F.get("probability", F.lit(i)), 6).alias(f"p_{c}")
-                                           for i, c in enumerate(tables.CATEGORIES)])
+    scored = written(class_scores(model, split.where("is_test")).select("row_id", "label", "prediction", "probability"), "scored")
+    right = scored.agg(F.avg(evaluate.correct())).first()[0]
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    likeliest = F.get("probability", F.col("prediction")) >= F.array_max("probability") - 1e-9
+    return scored.select(
+        "row_id", "label", (likeliest & (F.abs(total - 1) < 1e-6) & (F.size("probability") == N)).alias("consistent"),
+        F.lit(right >= BAND).alias("in_band"), F.lit(not unsettled(model)).alias("settled"))
 
 
 @query("rf_predict")
