@@ -31,6 +31,7 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 PIVOTS = 256
 RINGS = 8
+TILE = 64
 
 NEIGHBOURS = T.ArrayType(T.StructType([
     T.StructField("distance", T.DoubleType()),
@@ -88,20 +89,48 @@ def _block(table, apart: str | None) -> tuple:
             _numbers(table.column(apart))[order] if apart else None)
 
 
+def _rough(points: np.ndarray, across: np.ndarray, squares: np.ndarray, aparts, row_aparts) -> np.ndarray:
+    """Squared Euclidean distances of a tile of points by one matrix product; infinite where a row may not count."""
+    out = squares[None, :] - 2.0 * (points @ across) + (points**2).sum(axis=1)[:, None]
+    if aparts is not None:
+        out[np.asarray(aparts)[:, None] == row_aparts[None, :]] = np.inf
+    return out
+
+
+def _possible(rough: np.ndarray, k: int, squares: np.ndarray) -> np.ndarray:
+    """Rows that can be among the ``k`` nearest, whatever rounding did to ``rough`` and does to distances."""
+    if len(rough) <= k:
+        return np.flatnonzero(np.isfinite(rough))
+    edge = np.partition(rough, k - 1)[k - 1]
+    if not np.isfinite(edge):
+        return np.flatnonzero(np.isfinite(rough))
+    root = np.sqrt(max(edge, 0.0)) + 10.0 ** (1 - DIGITS)
+    return np.flatnonzero(rough <= root * root + 1e-11 * (squares.max(initial=0.0) + abs(edge) + 1.0))
+
+
 def _search(block: tuple, points: np.ndarray, aparts, k: int, p: float) -> pa.ListArray:
     """The neighbours of each point among the rows of a block, as one list per point."""
     ids, labels, across, row_aparts = block
     picks, gaps = [], []
-    buffer = np.empty_like(across)
+    buffer = None if p == 2 else np.empty_like(across)
+    if not len(ids):
+        across = np.empty((points.shape[1] if len(points) else 0, 0))
+    squares = (across**2).sum(axis=0)
     for i, point in enumerate(points):
-        found = np.round(distances(across, point, p, buffer), DIGITS) if len(ids) else np.empty(0)
-        if aparts is not None:
-            open_rows = np.flatnonzero(row_aparts != aparts[i])
-            pick = open_rows[_nearest(found[open_rows], k)]
+        if p == 2:
+            if i % TILE == 0:
+                tile = _rough(points[i:i + TILE], across, squares, None if aparts is None else aparts[i:i + TILE], row_aparts)
+            rows = _possible(tile[i % TILE], k, squares)
+            found = np.round(distances(across[:, rows], point, p), DIGITS) if len(rows) else np.empty(0)
+            near = _nearest(found, k)
+            pick, gap = rows[near], found[near]
         else:
-            pick = _nearest(found, k)
+            found = np.round(distances(across, point, p, buffer), DIGITS) if len(ids) else np.empty(0)
+            rows = np.arange(len(ids)) if aparts is None else np.flatnonzero(row_aparts != aparts[i])
+            pick = rows[_nearest(found[rows], k)]
+            gap = found[pick]
         picks.append(pick)
-        gaps.append(found[pick])
+        gaps.append(gap)
     ends = np.cumsum([0] + [len(x) for x in picks]).astype(np.int32)
     pick = np.concatenate(picks) if picks else np.empty(0, dtype=int)
     gap = np.concatenate(gaps) if gaps else np.empty(0)
