@@ -5,18 +5,20 @@ Input tables have ``row_id``, ``label`` and the text vector.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from phrasemill.functions.params import params_text
 from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
 from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
+from phrasemill.operators.reduce import project
 from phrasemill.plans.classifiers import CLASSIFIERS, combinations, same_model
 from phrasemill.plans.score import shape_of
 from phrasemill.session import written
@@ -77,18 +79,30 @@ def knn_predictions_by_fold(rows: DataFrame, folds: int, grid: dict[str, list])
 
 
 def as_features(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("features", array_to_vector("vec"))
+    return rows.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
+
+
+def reduced(train: DataFrame, others: DataFrame, dims: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``vec`` on the first ``dims`` principal components of ``train``; as they are without ``dims``."""
+    if not dims:
+        return train, others
+    to_vec = lambda df: df.withColumn("vec", vector_to_array("pca")).drop("features", "pca", "pca_centred")
+    shown, model = project(as_features(train), dims)
+    return to_vec(shown), to_vec(model.transform(as_features(others)))
 
 
 def cross_validate(rows: DataFrame, name: str, settings: dict[str, Any], folds: int,
-                   fold: str = "fold") -> DataFrame:
+                   fold: str = "fold", dims: int | None = None) -> DataFrame:
     """Out-of-fold predictions ``(row_id, label, fold, prediction)`` of any classifier.
 
-    The model of a fold, with everything that is fitted, only sees the other folds.
+    The model of a fold, with everything that is fitted, principal components
+    included, only sees the other folds.
     """
     shape, parts = shape_of(rows), []
+    if dims:
+        shape = replace(shape, dim=dims)
     for i in range(folds):
-        train, test = rows.where(F.col(fold) != i), rows.where(F.col(fold) == i)
+        train, test = reduced(rows.where(F.col(fold) != i), rows.where(F.col(fold) == i), dims)
         model = CLASSIFIERS[name].build(shape, **settings).fit(as_features(train))
         parts.append(model.transform(as_features(test)).select(
             "row_id", "label", fold, F.col("prediction").cast("int").alias("prediction")))
@@ -96,7 +110,7 @@ def cross_validate(rows: DataFrame, name: str, settings: dict[str, Any], folds:
 
 
 def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None, folds: int = 5,
-                parallelism: int = 4, embedding: tuple[str, str, str] = ("TableEmbedding", "vectors,0", "SumEmbedding"),
+                parallelism: int = 4, dims: int | None = None, embedding: tuple[str, str, str] = ("TableEmbedding", "vectors,0", "SumEmbedding"),
                 ) -> tuple[DataFrame, DataFrame]:
     """Search the settings of one classifier; returns its grid results and its evaluations.
 
@@ -109,7 +123,7 @@ def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None,
     settings = combinations(grid or CLASSIFIERS[name].grid)
 
     def score(one: dict[str, Any]) -> float:
-        predictions = cross_validate(train, name, one, folds, "cv_fold")
+        predictions = cross_validate(train, name, one, folds, "cv_fold", dims)
         return predictions.agg(F.round(100.0 * F.avg(correct()), 2)).first()[0]
 
     # Settings that give the same model are fitted once.
@@ -118,8 +132,9 @@ def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None,
         found = dict(zip(distinct, pool.map(inheritable_thread_target(spark)(score), distinct.values())))
     scores = [found[params_text(same_model(name, s))] for s in settings]
     best = settings[scores.index(max(scores))]
-    model = CLASSIFIERS[name].build(shape_of(train), **best).fit(as_features(train))
-    predictions = model.transform(as_features(split))
+    known, everything = reduced(train, split, dims)
+    model = CLASSIFIERS[name].build(shape_of(known), **best).fit(as_features(known))
+    predictions = model.transform(as_features(everything))
     word_emb, word_emb_params, sent_emb = embedding
     results = spark.createDataFrame(
         [(name, i, word_emb, word_emb_params, sent_emb, params_text(s), float(cv))

@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from phrasemill.operators.kernel import FourierFeatures
+from phrasemill.operators.folds import stratified_folds
 from phrasemill.operators.knn import KNNClassifier
 from phrasemill.operators.reduce import project
 from phrasemill.plans import grid_search as gs
@@ -123,6 +124,16 @@ def test_grid_search(spark, clusters):
     assert {r.split: r.score for r in evaluations.collect()}["train"] == 100.0
 
 
+def test_components_inside_the_fold(spark, clusters):
+    """Two components tell the groups apart; all five are a rotation, so nothing changes."""
+    cut = stratified_folds(clusters, 3)
+    plain, two, five = (gs.cross_validate(cut, "NearestNeighborsAlgorithm", {"n_neighbors": 3}, 3, dims=d) for d in (None, 2, 5))
+    assert two.where("label = prediction").count() > 140
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, five.collect()))
+    results, _ = gs.grid_search(clusters, "NearestNeighborsAlgorithm", {"n_neighbors": [3], "p": [2], "weights": ["uniform"]}, 3, dims=2)
+    assert results.first().cv > 90
+
+
 def test_sweep(spark, clusters):
     assert sweep.sweep_dims(1527, 200, 5)[:5] == [1, 2, 3, 5, 12] and sweep.sweep_dims(1527, 200, 5)[-1] == 200
     assert len(sweep.sweep_dims(1527, 200, 5)) == 30
