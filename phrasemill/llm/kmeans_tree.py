@@ -1,8 +1,8 @@
 """Approximate nearest neighbours over a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample; every row goes to the leaf that a walk
-down the nearest centres ends in, and crowded leaves are cut into blocks. A
-query walks the tree best bin first: a priority queue of nodes by the distance
+down the nearest centres ends in. Leaves that lie side by side in the tree are
+read together as one bin, crowded leaves are cut into blocks. A query walks the tree best bin first: a priority queue of nodes by the distance
 of their centres gives leaves in order, until it has seen as many as the
 calibration asks for. Calibration searches a stated number of queries
 exactly over all rows and takes the fewest leaf visits that reach the recall.
@@ -28,7 +28,7 @@ FIT_ROWS = 20_000
 CALIBRATION = 200
 RECALL = 0.97
 BRANCH = 8
-#: Rows of a leaf to aim at; rows of a block and queries of a chunk, on average, in a search task's group.
+#: Rows of a leaf to aim at; rows of a bin or block and queries of a chunk, on average, in a search task's group.
 LEAF = 400
 BLOCK = 4000
 CHUNK = 500
@@ -78,6 +78,19 @@ class Tree:
             moving = moving[[bool(self.children[n]) for n in at[moving]]]
         return at
 
+    def bins(self, counts: dict[int, int], rows: int) -> dict[int, int]:
+        """A bin for each leaf that has rows: leaves side by side share one until it has ``rows`` rows."""
+        found, here, n, waiting = {}, 0, 0, [0]
+        while waiting:
+            node = waiting.pop()
+            waiting += reversed(self.children[node])
+            if node in counts:
+                if n and n + counts[node] > rows:
+                    here, n = here + 1, 0
+                found[node] = here
+                n += counts[node]
+        return found
+
     def walk(self, query: np.ndarray) -> Iterator[int]:
         """All leaves, best bin first."""
         queue = [(0.0, 0)]
@@ -198,36 +211,41 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
     visits = _calibrate(index, sample[:CALIBRATION], tree, size, k, recall)
     sizes = written(index.groupBy("leaf").agg(F.count("*").alias("rows")), "leaves")  # one row for each leaf
     counts = {r["leaf"]: r["rows"] for r in sizes.collect()}
+    bins = tree.bins(counts, BLOCK)
     # A key's own rows are no candidates, so a query has to see that many more.
     own = index.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
     asked = asked.join(own, "id", "left").fillna(0, ["own"])
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, leaves, vec = [], [], _matrix(batch.column("vec"), size)
+            who, found, vec = [], [], _matrix(batch.column("vec"), size)
             for i, mine in enumerate(batch.column("own").to_pylist()):
-                seen = 0
+                seen, mine_bins = 0, set()
                 for n, leaf in enumerate(held.value.walk(vec[i])):
                     if n >= visits and seen >= k + mine:
                         break
                     if leaf in counts:
                         seen += counts[leaf]
-                        who.append(i)
-                        leaves.append(leaf)
+                        mine_bins.add(bins[leaf])
+                who += [i] * len(mine_bins)
+                found += sorted(mine_bins)
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("vec").take(take),
-                                              pa.array(leaves, pa.int64())], ["query_id", "vec", "leaf"])
-
-    visited = written(asked.mapInArrow(walk, "query_id long, vec array<double>, leaf long"), "visits")
-    asking = visited.groupBy("leaf").agg(F.count("*").alias("queries"))
-    plan = written(sizes.join(asking, "leaf").select(
-        "leaf", F.ceil(F.col("rows") / BLOCK).alias("blocks"), F.ceil(F.col("queries") / CHUNK).alias("chunks")), "plan")
+                                              pa.array(found, pa.int64())], ["query_id", "vec", "bin"])
+
+    # A query visits a bin once, whichever of its leaves it came for, and brings home the k best of the whole bin.
+    visited = written(asked.mapInArrow(walk, "query_id long, vec array<double>, bin long"), "visits")
+    asking = visited.groupBy("bin").agg(F.count("*").alias("queries"))
+    where = spark.createDataFrame(list(bins.items()), "leaf long, bin long")  # one row for each leaf
+    filled = sizes.join(where, "leaf").groupBy("bin").agg(F.sum("rows").alias("rows"))
+    plan = written(filled.join(asking, "bin").select(
+        "bin", F.ceil(F.col("rows") / BLOCK).alias("blocks"), F.ceil(F.col("queries") / CHUNK).alias("chunks")), "plan")
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(F.broadcast(plan), "leaf").withColumn("block", spread("id", "blocks")).withColumn("chunk", every("chunks"))
-    right = visited.join(F.broadcast(plan), "leaf").withColumn("chunk", spread("query_id", "chunks")).withColumn(
+    left = index.join(F.broadcast(where.join(plan, "bin")), "leaf").withColumn("block", spread("id", "blocks")).withColumn("chunk", every("chunks"))
+    right = visited.join(F.broadcast(plan), "bin").withColumn("chunk", spread("query_id", "chunks")).withColumn(
         "block", every("blocks"))
-    group = ["leaf", "block", "chunk"]
+    group = ["bin", "block", "chunk"]
 
     def match(rows: pa.Table, queries: pa.Table) -> pa.Table:
         empty = not rows.num_rows or not queries.num_rows
