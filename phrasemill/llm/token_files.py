@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,8 +34,9 @@ PAGE_ROWS = 1000
 class WordEncoder(dict):
     """Ids of words between blanks, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and no token crosses it, so the words of a
-    text give the ids of the whole text.
+    The tokenizer drops white space and no token crosses it, nor does one cross
+    from a letter to a mark such as a comma; so the ids of the pieces that are
+    cut there, end to end, are those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -42,18 +44,48 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = re.compile(r"[^ \t\n\r]+")
+        self.word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,!?;:#$%&*])|[^ \t\n\r]+")
+        # Only letters: one unit to the tokenizer, whose last id, and no other, is that of a word's end.
+        self.letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``; some hundreds of plain ones go through the library as one text."""
+        plain = [w for w in words if self.letters.fullmatch(w)]
+        odd = [w for w in words if not self.letters.fullmatch(w)]
+        groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
+        codes = self.tokenizer.encode_batch_fast([*map(" ".join, groups), *odd], add_special_tokens=False)
+        for group, code in zip(groups, codes):
+            ids = np.array(code.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            for word, a, b in zip(group, [0, *ends[:-1]], ends, strict=True):
+                self[word] = data[a:b]
+        for word, code in zip(odd, codes[len(groups):], strict=True):
+            self[word] = struct.pack(f"<{len(code.ids)}I", *code.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.word.findall(t) for t in texts]
+        words = [self.word.findall(_small(t)) for t in texts]
         if len(self) >= REMEMBERED:
             self.clear()
-        new = list({w for ws in words for w in ws if w not in self})
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(code.ids, "<u4").tobytes()
+        self.learn(list(set().union(*words).difference(self)))
         return [b"".join(map(self.__getitem__, ws)) for ws in words]
 
 
+def _small(text: str) -> str:
+    """The text with A-Z in lower case, as the tokenizer will have it, so that fewer words differ.
+
+    Only where that surely commutes with its other rules: no special token can
+    arise, and no combining mark could join a small letter and not a capital.
+    """
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if b"<|" in data else data.lower().decode("latin-1")
+
+
 @functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder:
     """The encoder of a worker process, which outlives a task; losing it costs time only."""
