@@ -48,7 +48,8 @@ pound pounds lb lbs oz ounce ounces l ml liter liters litre litres gallon gallon
 hr hour hours day days week weeks month months year years mph kmh degree degrees dollar dollars cent cents euro euros usd
 eur byte bytes kb mb gb watt watts volt volts""".split())
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[%$€£°]|[.!?\n]")
+# Latin letters come first as the quickest to tell; the last kind of word holds all other letters.
+_TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ʯ]++|[.!?\n]|\d++(?:[.,:/]\d++)*+|[%$€£°]|[^\W\d_]++")
 _WORD, _TITLE, _NUMBER, _UNIT, _SIGN, _BREAK = range(6)
 _KIND = 7  # mask of the low bits
 _HELD = {_NUMBER: 0x5DEECE66D1234567, _UNIT: 0x2545F4914F6CDD1D, _TITLE: 0x369DEA0F31A53F85}
@@ -111,17 +112,26 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
         return (out ^ (out >> np.uint64(29))) * _BASE
 
 
+def _within(flags: np.ndarray, width: int) -> np.ndarray:
+    """How many flags are set in every window of ``width`` tokens."""
+    total = np.zeros(len(flags) + 1, dtype=np.int32)
+    np.cumsum(flags, out=total[1:])
+    return total[width:] - total[:-width]
+
+
 def windows_of(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str | None]]]:
     """(width, places, keys, slots) for every width and form; slots tell the placeholders' values, null without any."""
     plain, named, kinds, tokens = canonical(text)
+    titles = kinds == _TITLE
+    values = (kinds == _NUMBER) | (kinds == _UNIT)
+    forms = [(plain, values, None), (named, values | titles, titles)] if titles.any() else [(plain, values, None)]
     for width in widths:
         if len(plain) < width:
             continue
-        names = np.convolve(kinds == _TITLE, np.ones(width, int), "valid") > 0
-        for hashes, with_names in ((plain, False), (named, True)):
-            held = np.isin(kinds, (_NUMBER, _UNIT)) | ((kinds == _TITLE) & with_names)
-            count = np.convolve(held, np.ones(width, int), "valid").astype(int)
-            places = np.flatnonzero((count <= width * (1 - LITERAL)) & (names | (not with_names)))
+        for hashes, held, needed in forms:
+            count = _within(held, width)
+            fine = count <= width * (1 - LITERAL)
+            places = np.flatnonzero(fine if needed is None else fine & (_within(needed, width) > 0))
             keys = _rolled(hashes, width)[places].view(np.int64)
             slots: list[str | None] = [None] * len(places)
             for i in np.flatnonzero(count[places]).tolist():
