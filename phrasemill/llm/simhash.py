@@ -194,6 +194,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def by_component(rows: DataFrame, nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Stored ``rows`` with the smallest ``least`` of their component; ``nodes`` (name, least, rows) has one row for each node."""
+    roots = written(roots.withColumnRenamed("node", name), "roots")
+    linked = written(nodes.select(name, "least", "rows").join(roots, name, "left").withColumn(
+        "root", F.coalesce("root", name)), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    facts = written(linked.join(least, "root").select(name, "rows", "component"), "facts")
+    return attach(rows, facts, name, "rows", rows.count())
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3,
                     shard: int = SHARD) -> DataFrame:
     """(key, fp, component) of every row: the smallest key reachable over fingerprints within ``radius`` bits.
@@ -206,13 +216,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """
     prints = written(fingerprints(df, key, text, shingle), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows")), "nodes")
-    roots = written(components(links(nodes.select("fp"), radius, shard)), "roots")
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    linked = written(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    facts = written(linked.join(least, "root").select("fp", "rows", "component"), "facts")
-    return attach(prints, facts, "fp", "rows", prints.count()).select(key, "fp", "component")
+    return by_component(prints, nodes, components(links(nodes.select("fp"), radius, shard)), "fp").select(key, "fp", "component")
 
 
 def hex_print(fp: str = "fp") -> F.Column:
