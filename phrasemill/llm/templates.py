@@ -10,7 +10,9 @@ again with other numbers or names is found, and text that happens to have the
 same shape is not.
 
 As a capital does not always make a name, a window with possible names is
-looked up with and without them.
+looked up with and without them; capitals that open a text or a sentence, the
+least certain names, count as words in a form of their own and as names in
+another.
 """
 
 from __future__ import annotations
@@ -79,8 +81,8 @@ class Codes(dict):
 _codes = Codes()
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(hashes without names, hashes with names, kinds, tokens) of a text; kinds other than words are placeholders."""
+def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """As ``canonical``, and which words are capitals that open a sentence, so may be names as well."""
     tokens = _TOKEN.findall(text)
     codes = np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
     kinds = codes & _KIND
@@ -93,13 +95,19 @@ def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]
     beside = numbers[:-2] | numbers[2:]
     stay = (kinds != _SIGN) | beside
     kinds = np.where((kinds == _SIGN) | ((kinds == _UNIT) & numbers[:-2]), _UNIT, np.where(kinds == _UNIT, _WORD, kinds))
+    opening = ((kinds == _TITLE) & starts)[stay]
     kinds = np.where((kinds == _TITLE) & starts, _WORD, kinds)[stay]
     codes, keep = codes[stay], keep[stay]
     plain = (codes >> 3).astype(np.uint64)
     for kind in (_NUMBER, _UNIT):
         plain[kinds == kind] = _HELD[kind]
     named = np.where(kinds == _TITLE, np.uint64(_HELD[_TITLE]), plain)
-    return plain, named, kinds, [tokens[i] for i in keep.tolist()]
+    return plain, named, kinds, [tokens[i] for i in keep.tolist()], opening
+
+
+def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(hashes without names, hashes with names, kinds, tokens) of a text; kinds other than words are placeholders."""
+    return _parsed(text)[:4]
 
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -119,12 +127,21 @@ def _within(flags: np.ndarray, width: int) -> np.ndarray:
     return total[width:] - total[:-width]
 
 
-def windows_of(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str | None]]]:
-    """(width, places, keys, slots) for every width and form; slots tell the placeholders' values, null without any."""
-    plain, named, kinds, tokens = canonical(text)
+def windows_of(text: str, widths: list[int], wanted: np.ndarray | None = None,
+               ) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str | None]]]:
+    """(width, places, keys, slots) for every width and form; slots tell the placeholders' values, null without any.
+
+    Only windows with a key in ``wanted``, keys in order, if it is given.
+    """
+    plain, named, kinds, tokens, opening = _parsed(text)
     titles = kinds == _TITLE
     values = (kinds == _NUMBER) | (kinds == _UNIT)
-    forms = [(plain, values, None), (named, values | titles, titles)] if titles.any() else [(plain, values, None)]
+    forms = [(plain, values, None)]
+    if titles.any():
+        forms.append((named, values | titles, titles))
+    if opening.any():
+        forms.append((np.where(opening, np.uint64(_HELD[_TITLE]), named), values | titles | opening, opening))
+        kinds = np.where(opening, _TITLE, kinds)
     for width in widths:
         if len(plain) < width:
             continue
@@ -133,6 +150,11 @@ def windows_of(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray,
             fine = count <= width * (1 - LITERAL)
             places = np.flatnonzero(fine if needed is None else fine & (_within(needed, width) > 0))
             keys = _rolled(hashes, width)[places].view(np.int64)
+            if wanted is not None:
+                at = np.searchsorted(wanted, keys)
+                known = np.append(wanted, 0)[at] == keys
+                known &= at < len(wanted)
+                places, keys = places[known], keys[known]
             slots: list[str | None] = [None] * len(places)
             for i in np.flatnonzero(count[places]).tolist():
                 at = int(places[i])
@@ -140,15 +162,16 @@ def windows_of(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray,
             yield width, places, keys, slots
 
 
-def template_windows(df: DataFrame, key: str, text: str, widths: list[int]) -> DataFrame:
-    """(key, place, width, window, slots) of all windows of all rows with a key."""
+def template_windows(df: DataFrame, key: str, text: str, widths: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, place, width, window, slots) of all windows, or all ``wanted`` ones, of all rows with a key."""
+    shipped = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
     source = df.select(F.col(key).cast("long").alias(key), whole(text).alias("text")).filter(F.col(key).isNotNull())
     names = [key, "place", "width", "window", "slots"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, columns = [], [[], [], [], []]
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for width, places, keys, slots in windows_of(t, widths):
+            for width, places, keys, slots in windows_of(t, widths, shipped and shipped.value):
                 ids.append(np.full(len(places), i, np.int64))
                 for column, x in zip(columns, (places, np.full(len(places), width, np.int32), keys, slots), strict=True):
                     column.append(x)
@@ -210,9 +233,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     # One row for each window, so that a shape that many items share multiplies nothing.
     wanted = written(wanted.groupBy("window").agg(F.collect_set(F.struct(
         "item", F.col("place").alias("at"), F.col("slots").alias("theirs"), "size")).alias("items")), "item-windows")
-    found = template_windows(df, key, text, widths)
-    if wanted.count() <= BROADCAST_WINDOWS:
+    known = None
+    if wanted.count() <= BROADCAST_WINDOWS:  # documents then make no rows of other windows
+        known = np.sort(np.array([r["window"] for r in wanted.select("window").collect()], dtype=np.int64))
         wanted = F.broadcast(wanted)
+    found = template_windows(df, key, text, widths, known)
     hits = found.join(wanted, "window").withColumn("hit", F.explode("items")).select(
         key, "hit.item", (F.col("place") - F.col("hit.at")).alias("line"), "hit.at", "width", "slots", "hit.theirs", "hit.size")
     hits = hits.distinct().repartition(parts_for(spark), key, "item").sortWithinPartitions(

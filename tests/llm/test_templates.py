@@ -27,6 +27,23 @@ def test_exact_and_reworded(spark):
     assert not got[0, 0].reworded and got[1, 0].reworded and got[1, 0].share > 0.8
 
 
+def test_names_that_open_sentences(spark):
+    item = "Anna has 3 apples. Tom gives her 4 more. Lisa eats 2 of them. How many apples are left?"
+    other = item.replace("Anna", "Zoe").replace("Tom", "Carl").replace("Lisa", "Mia").replace("3", "8").replace("4", "5")
+    inside = "we ask you now, as " + other  # the first token no longer opens a sentence
+    wrong = item.replace("Anna", "Zoe").replace("Tom", "Zoe").replace("Lisa", "Zoe").replace("3", "4").replace("2", "4")
+    got = found(spark, [other, inside, wrong], (item,))
+    assert got.keys() == {(0, 0), (1, 0)} and all(r.reworded and r.share == 1 for r in got.values())
+    lower = "then the train leaves Paris at 7 and drives on"  # the opening capital is a word here
+    assert found(spark, [lower], ("The train leaves Berlin at 9 and drives on",)).keys() == {(0, 0)}
+
+
+def test_more_windows_than_are_broadcast(spark, monkeypatch):
+    few = found(spark, [ITEM, ITEM.replace("Anna", "Zoe")])
+    monkeypatch.setattr("phrasemill.llm.templates.BROADCAST_WINDOWS", 0)
+    assert found(spark, [ITEM, ITEM.replace("Anna", "Zoe")]) == few and len(few) == 2
+
+
 def test_slots_must_fit(spark):
     item = "take 5 apples and put 5 apples into 5 bags then sell 7 apples and keep 5 bags for 7 more days at home"
     fits = item.replace("5", "8").replace("7", "9")
