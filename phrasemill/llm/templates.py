@@ -12,7 +12,8 @@ same shape is not.
 As a capital does not always make a name, a window with possible names is
 looked up with and without them; capitals that open a text or a sentence, the
 least certain names, count as words in a form of their own and as names in
-another.
+another. A window that is mostly numbers and units says too little by its
+shape; it is looked up by its values, so that a copy is found.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from phrasemill.session import written
 #: Tokens of a window; items that are shorter are one window, if they have at least ``LEAST`` tokens.
 WINDOW = 8
 LEAST = 4
-#: Literal words that a window needs, half of it at least; else its shape says too little.
+#: Literal words that a window needs, half of it at least; else its shape says too little and its values count.
 LITERAL = 0.5
 #: A document holds an item if this many of the item's tokens are found, or this share of them.
 COVERED = 13
@@ -81,8 +82,8 @@ class Codes(dict):
 _codes = Codes()
 
 
-def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """As ``canonical``, and which words are capitals that open a sentence, so may be names as well."""
+def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """As ``canonical``, which words are capitals that open a sentence, so may be names as well, and hashes of all values."""
     tokens = _TOKEN.findall(text)
     codes = np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
     kinds = codes & _KIND
@@ -98,11 +99,12 @@ def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], n
     opening = ((kinds == _TITLE) & starts)[stay]
     kinds = np.where((kinds == _TITLE) & starts, _WORD, kinds)[stay]
     codes, keep = codes[stay], keep[stay]
-    plain = (codes >> 3).astype(np.uint64)
+    literal = (codes >> 3).astype(np.uint64)
+    plain = literal.copy()
     for kind in (_NUMBER, _UNIT):
         plain[kinds == kind] = _HELD[kind]
     named = np.where(kinds == _TITLE, np.uint64(_HELD[_TITLE]), plain)
-    return plain, named, kinds, [tokens[i] for i in keep.tolist()], opening
+    return plain, named, kinds, [tokens[i] for i in keep.tolist()], opening, literal
 
 
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -133,9 +135,10 @@ def windows_of(text: str, widths: list[int], wanted: np.ndarray | None = None,
 
     Only windows with a key in ``wanted``, keys in order, if it is given.
     """
-    plain, named, kinds, tokens, opening = _parsed(text)
+    plain, named, kinds, tokens, opening, literal = _parsed(text)
     titles = kinds == _TITLE
     values = (kinds == _NUMBER) | (kinds == _UNIT)
+    none = np.zeros(len(plain), dtype=bool)
     forms = [(plain, values, None)]
     if titles.any():
         forms.append((named, values | titles, titles))
@@ -145,9 +148,12 @@ def windows_of(text: str, widths: list[int], wanted: np.ndarray | None = None,
     for width in widths:
         if len(plain) < width:
             continue
-        for hashes, held, needed in forms:
+        most = width * (1 - LITERAL)
+        # One less than the most, as a unit at an item's start is a word there and may follow a number in a document.
+        crowded = _within(values, width) + 1 > most
+        for hashes, held, needed in [*forms, (literal, none, None)] if crowded.any() else forms:
             count = _within(held, width)
-            fine = count <= width * (1 - LITERAL)
+            fine = crowded if hashes is literal else count <= most
             places = np.flatnonzero(fine if needed is None else fine & (_within(needed, width) > 0))
             keys = _rolled(hashes, width)[places].view(np.int64)
             if wanted is not None:

@@ -38,6 +38,14 @@ def test_names_that_open_sentences(spark):
     assert found(spark, [lower], ("The train leaves Berlin at 9 and drives on",)).keys() == {(0, 0)}
 
 
+def test_mostly_numbers(spark):
+    sums = "12 + 7 = 19, 30 + 4 = 34, 8 + 9 = 17 and 5 km 3 m 2 cm 40 kg 6 g 15 %"
+    other = re.sub(r"\d+", lambda m: str(int(m[0]) + 1), sums)
+    short = "3 5 7 11 primes"
+    got = found(spark, ["Solve: " + sums + " now", other, "the 3 5 7 11 primes", "the 3 5 7 13 primes", "km " + sums], (sums, short))
+    assert got.keys() == {(0, 0), (2, 1), (4, 0)} and got[0, 0].share == 1 and not got[0, 0].reworded
+
+
 def test_more_windows_than_are_broadcast(spark, monkeypatch):
     few = found(spark, [ITEM, ITEM.replace("Anna", "Zoe")])
     monkeypatch.setattr("phrasemill.llm.templates.BROADCAST_WINDOWS", 0)
