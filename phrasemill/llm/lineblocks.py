@@ -4,9 +4,9 @@ Markup is stripped; every block of the page is a line, and an element that
 holds no main text (menus, adverts, forms and the like) leaves a wall of empty
 lines. Text lengths are summed over a sliding window of lines. Where the sum
 rises from nothing is a surge, where it falls back is a dive, and the lines
-between the two are one stretch of text. Kept are the stretches of the page's
-article, or, where no element says which part that is, those about as dense as
-the densest.
+between the two are one stretch of text. Kept are the lines of the page's
+article, or, where no element says which part that is, the stretches that hold
+a sentence or a heading and all between the first and the last of them.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from phrasemill.llm.common import by_batch, whole
 
 #: Lines in a window.
 WINDOW = 3
-#: Without an article, a stretch needs a window with this share of the page's fullest window.
-DENSE = 0.2
 
 # Element names of HTML and the words that name parts of a page.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -47,6 +45,8 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["
 _NAMES = re.compile(r"""(?is)(?<![\w-])(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 _HIDDEN = re.compile(r"""(?is)(?<![\w-])hidden(?![\w-])|display\s*+:\s*+none|aria-hidden\s*+=\s*+["']?true""")
 _WORD = re.compile(r"[a-z]+")
+#: The end of a sentence.
+_PROSE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|\Z)|[。！？؟।]""")
 
 
 def _apart(name: str, attributes: str) -> bool:
@@ -78,19 +78,24 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     The weight is the length of the text, 0 where links make up most of it.
     """
+    return [line[:3] for line in _lines(page)]
+
+
+def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """As ``lines_of``, and whether the line is a heading."""
     page = _RAW.sub(lambda m: "" if m[0].startswith("<!--") else "<hr>", page)
     tags = list(_TAG.finditer(page))
     closers = _closers(tags)
     articles = [i for i, t in enumerate(tags) if not t[1] and t[2].lower() in ARTICLE]
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
-    linked = depth = links = 0
+    linked = depth = links = headings = 0
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            lines.append((line, 0 if linked > len(line) / 2 else len(line), depth > 0))
+            lines.append((line, 0 if linked > len(line) / 2 else len(line), depth > 0, headings > 0))
         text.clear()
         linked = 0
 
@@ -100,7 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(piece)
             linked += len(piece) if links else 0
 
-    wall, at, i = [("", 0, False)] * WINDOW, 0, 0
+    wall, at, i = [("", 0, False, False)] * WINDOW, 0, 0
     while i < len(tags):
         tag = tags[i]
         add(page[at:tag.start()])
@@ -112,6 +117,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag[1]:
             depth -= name in ARTICLE and depth > 0
             links -= name == "a" and links > 0
+            headings -= name in HEADINGS and headings > 0
         else:
             end = closers.get(i)
             holds = end is not None and any(i < a < end for a in articles)
@@ -121,13 +127,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     for j in range(i + 1, end):
                         if not tags[j][1] and tags[j][2].lower() in HEADINGS and (stop := closers.get(j)):
                             line = " ".join(html.unescape(_TAG.sub("", page[tags[j].end():tags[stop].start()])).split())
-                            lines.extend([(line, len(line), True)] if line else [])
+                            lines.extend([(line, len(line), True, True)] if line else [])
                 else:
                     lines.extend(wall)
                 at, i = tags[end].end(), end + 1
                 continue
             depth += name in ARTICLE and end is not None
             links += name == "a" and end is not None
+            headings += name in HEADINGS and end is not None
         i += 1
     add(page[at:])
     flush()
@@ -136,18 +143,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str) -> list[str]:
     """The kept blocks of a page, in order."""
-    lines = lines_of(page)
-    if any(inside for _, weight, inside in lines if weight):
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-        least = 0.0
-    else:
-        least = DENSE
-    weights = [w for _, w, _ in lines]
+    lines = _lines(page)
+    marked = any(inside for _, weight, inside, _ in lines if weight)
+    if marked:
+        lines = [line if line[2] else ("", 0, False, False) for line in lines]
+    weights = [line[1] for line in lines]
     sums, total = [], sum(weights[:WINDOW])
     for i in range(len(weights)):
         sums.append(total)  # of the lines from i on
         total += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
-    full, kept, i = max(sums, default=0), [], 0
+    stretches, i = [], 0
     while i < len(sums):
         if not sums[i]:
             i += 1
@@ -155,9 +160,12 @@ def main_text(page: str) -> list[str]:
         surge = i
         while i < len(sums) and sums[i]:
             i += 1  # the dive: no text in this window
-        if max(sums[surge:i]) >= least * full:
-            kept += [text for text, _, _ in lines[surge:i] if text]
-    return kept
+        stretches.append(lines[surge:i])
+    if not marked:
+        told = [i for i, stretch in enumerate(stretches) if any(
+            weight and (heading or _PROSE.search(text)) for text, weight, _, heading in stretch)]
+        stretches = stretches[told[0]:told[-1] + 1] if told else stretches  # nothing to tell by: all of them
+    return [text for stretch in stretches for text, *_ in stretch if text]
 
 
 def extract_pages(df: DataFrame, html_column: str = "html", text: str = "text", chars: str = "n_chars") -> DataFrame:

@@ -22,6 +22,16 @@ def test_without_article():
     assert main_text(page) == [("Long text here. " * 9).strip(), "Short.", ("More text there. " * 9).strip()]
 
 
+def test_one_long_paragraph():
+    """Without an article, short paragraphs count for themselves, however long another one is."""
+    long, ends = ("Very long text here. " * 300).strip(), ["Short closing words.", "And one more?", "The “end.”"]
+    page = (f"<body><h1>The title</h1><div class=ad>Buy.</div><p>{long}</p><div class='ad'>Buy this now.</div>"
+            + "".join(f"<p>{t}</p>" for t in ends[:2]) + f"<div class=promo>More offers!</div><h2>Between</h2><div class=ad>x.</div><p>{ends[2]}</p>"
+            "<div class=ad>Buy.</div><ul><li><a href=x>Other page.</a></li><li>Home</li></ul></body>")
+    assert main_text(page) == ["The title", long, *ends[:2], "Between", ends[2]]
+    assert main_text("<p>no sentence</p><div class=ad>Buy.</div><p>nor here</p>") == ["no sentence", "nor here"]
+
+
 def test_walls_and_weights():
     lines = lines_of("<p>abc</p><nav>no</nav><p><a href=x>linked</a> z</p>")
     assert lines == [("abc", 3, False), ("", 0, False), ("", 0, False), ("", 0, False), ("linked z", 0, False)]
