@@ -49,15 +49,22 @@ _WORD = re.compile(r"[a-z]+")
 _PROSE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|\Z)|[。！？؟।]""")
 
 
-def _apart(name: str, attributes: str) -> bool:
-    """Whether an element's name or labels say that it holds no main text."""
+def _apart(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element's name or labels say that it holds no main text.
+
+    ``inside`` an article a label counts as a whole, all its words must name
+    such parts; elsewhere one of them is enough. Headings are never told by labels.
+    """
     if name in APART:
         return True
     if name in ("html", "body") or not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(w in PARTS for v in _NAMES.findall(attributes) for w in _WORD.findall(v.lower()))
+    if name in HEADINGS:
+        return False
+    labels = [_WORD.findall(label) for v in _NAMES.findall(attributes) for label in v.lower().split()]
+    return any((all if inside else any)(w in PARTS for w in words) for words in labels if words)
 
 
 def _closers(tags: list[re.Match]) -> dict[int, int]:
@@ -121,7 +128,7 @@ def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
         else:
             end = closers.get(i)
             holds = end is not None and any(i < a < end for a in articles)
-            if name not in ARTICLE and end is not None and not holds and _apart(name, tag[3]):
+            if name not in ARTICLE and end is not None and not holds and _apart(name, tag[3], depth > 0):
                 flush()
                 if name == "header" and depth:  # an article's own heading is part of it
                     for j in range(i + 1, end):
@@ -144,9 +151,9 @@ def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str) -> list[str]:
     """The kept blocks of a page, in order."""
     lines = _lines(page)
-    marked = any(inside for _, weight, inside, _ in lines if weight)
-    if marked:
-        lines = [line if line[2] else ("", 0, False, False) for line in lines]
+    # Articles of links only do not tell where the main text is, unless the page has no other text.
+    if any(inside and weight for _, weight, inside, _ in lines) or not any(weight for _, weight, *_ in lines):
+        return [text for text, _, inside, _ in lines if inside and text]
     weights = [line[1] for line in lines]
     sums, total = [], sum(weights[:WINDOW])
     for i in range(len(weights)):
@@ -160,12 +167,13 @@ def main_text(page: str) -> list[str]:
         surge = i
         while i < len(sums) and sums[i]:
             i += 1  # the dive: no text in this window
-        stretches.append(lines[surge:i])
-    if not marked:
-        told = [i for i, stretch in enumerate(stretches) if any(
-            weight and (heading or _PROSE.search(text)) for text, weight, _, heading in stretch)]
-        stretches = stretches[told[0]:told[-1] + 1] if told else stretches  # nothing to tell by: all of them
-    return [text for stretch in stretches for text, *_ in stretch if text]
+        stretches.append(range(surge, i))
+    told = [n for n, stretch in enumerate(stretches) if any(
+        lines[i][1] and (lines[i][3] or _PROSE.search(lines[i][0])) for i in stretch)]
+    if told:  # else there is nothing to tell by
+        stretches = stretches[told[0]:told[-1] + 1]
+    kept = {i for stretch in stretches for i in stretch}
+    return [text for i, (text, _, inside, _) in enumerate(lines) if text and (inside or i in kept)]
 
 
 def extract_pages(df: DataFrame, html_column: str = "html", text: str = "text", chars: str = "n_chars") -> DataFrame:

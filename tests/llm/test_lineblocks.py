@@ -32,6 +32,22 @@ def test_one_long_paragraph():
     assert main_text("<p>no sentence</p><div class=ad>Buy.</div><p>nor here</p>") == ["no sentence", "nor here"]
 
 
+def test_links_in_an_article():
+    assert main_text("<article><p>Text.</p><p><a href=x>Read the full report</a></p></article><p>after</p>") == ["Text.", "Read the full report"]
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(5))
+    assert main_text(f"<article><ul>{links}</ul><p>Text.</p><ul>{links}</ul></article>") == [
+        *(f"Link {i}" for i in range(5)), "Text.", *(f"Link {i}" for i in range(5))]
+    assert main_text(f"<main><ul>{links}</ul></main>") == [f"Link {i}" for i in range(5)]
+    assert main_text("<p>Main text.</p><article><a href=x>Card</a></article>") == ["Main text.", "Card"]
+
+
+def test_labels_in_an_article():
+    kept = ("<h2 id='related-work'>Related work</h2><section id='search-results'><p>Found.</p></section>"
+            "<div class='notice-period'>Two weeks.</div><h3 class=comments>Comments</h3>")
+    gone = "<div class='box ad'>Buy.</div><div class='cookie-notice'>Cookies.</div><div id='ad-1'>Buy.</div><section class=comments>First!</section>"
+    assert main_text(f"<article><p>Text.</p>{kept}{gone}</article>") == ["Text.", "Related work", "Found.", "Two weeks.", "Comments"]
+
+
 def test_walls_and_weights():
     lines = lines_of("<p>abc</p><nav>no</nav><p><a href=x>linked</a> z</p>")
     assert lines == [("abc", 3, False), ("", 0, False), ("", 0, False), ("", 0, False), ("linked z", 0, False)]
