@@ -557,8 +557,7 @@ def svm_predict(spark, folder):
 @query("grid_search_rf")
 def grid_search_rf(spark, folder):
     rows, _ = tables.text_points(spark, folder)
-    found, _ = grid_search.grid_search(rows, "RandomForestAlgorithm", {
-        "max_depth": [1, 5], "criterion": ["gini", "entropy"], "n_estimators": [20]}, folds=3)
+    found, _ = grid_search.grid_search(rows, "RandomForestAlgorithm")
     return found
 
 
