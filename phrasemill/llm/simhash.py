@@ -195,12 +195,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def by_component(rows: DataFrame, nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """Stored ``rows`` with the smallest ``least`` of their component; ``nodes`` (name, least, rows) has one row for each node."""
+    """Stored ``rows`` with the smallest ``least`` of their component, and its root; ``nodes`` (name, least, rows) has one row for each node."""
     roots = written(roots.withColumnRenamed("node", name), "roots")
     linked = written(nodes.select(name, "least", "rows").join(roots, name, "left").withColumn(
         "root", F.coalesce("root", name)), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    facts = written(linked.join(least, "root").select(name, "rows", "component"), "facts")
+    facts = written(linked.join(least, "root").select(name, "rows", "component", "root"), "facts")
     return attach(rows, facts, name, "rows", rows.count())
 
 
