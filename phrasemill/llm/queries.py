@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.llm import quality, toxicity
+from phrasemill.llm.alignment import align
 from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
 from phrasemill.llm.kmeans_tree import search
@@ -24,6 +25,7 @@ from phrasemill.session import new_path, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_templates(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,9 +100,15 @@ def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, links weighed by counts over the corpus."""
+    return align(table(spark, folder, "documents"), BYTES, PIECES).documents
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_templates, op2_sentencepiece, op3_pu_quality, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files, op9_simhash,
-                            op10_line_blocks)}
+    f.__name__: f for f in (
+        op1_templates, op2_sentencepiece, op3_pu_quality, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files,
+        op9_simhash, op10_line_blocks, op13_alignment)}
 
 #: None of these can be said in SQL: they need tokenizers, archives, trees or markup. Tests hold them to brute force.
 ORACLE: dict[str, str] = {}
