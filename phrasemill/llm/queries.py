@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import quality, toxicity
+from phrasemill.llm import lexical, quality, toxicity
 from phrasemill.llm.alignment import align
 from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
@@ -100,6 +100,11 @@ def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of two tokenizers aligned in every document, links weighed by counts over the corpus."""
     return align(table(spark, folder, "documents"), BYTES, PIECES).documents
@@ -108,7 +113,7 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_templates, op2_sentencepiece, op3_pu_quality, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files,
-        op9_simhash, op10_line_blocks, op13_alignment)}
+        op9_simhash, op10_line_blocks, op12_lexical_search, op13_alignment)}
 
-#: None of these can be said in SQL: they need tokenizers, archives, trees or markup. Tests hold them to brute force.
-ORACLE: dict[str, str] = {}
+#: The others need tokenizers, archives, models, trees or markup; tests hold them to brute force.
+ORACLE: dict[str, str] = {"op12_lexical_search": lexical.SQL}
