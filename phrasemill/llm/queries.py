@@ -14,6 +14,7 @@ from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
 from phrasemill.llm.kmeans_tree import search
 from phrasemill.llm.lineblocks import extract_pages
+from phrasemill.llm.mixing import mix
 from phrasemill.llm.pieces import round_trip
 from phrasemill.llm.quality import score_quality
 from phrasemill.llm.simhash import hex_print, near_duplicates
@@ -100,6 +101,11 @@ def op10_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op11_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a mix with weighted sources takes every document."""
+    return mix(table(spark, folder, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     """The fifty best documents of every benchmark item."""
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -113,7 +119,7 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_templates, op2_sentencepiece, op3_pu_quality, op4_warc, op5_zstd_toxicity, op6_chat, op7_kmeans_tree, op8_token_files,
-        op9_simhash, op10_line_blocks, op12_lexical_search, op13_alignment)}
+        op9_simhash, op10_line_blocks, op11_entropy_mix, op12_lexical_search, op13_alignment)}
 
 #: The others need tokenizers, archives, models, trees or markup; tests hold them to brute force.
 ORACLE: dict[str, str] = {"op12_lexical_search": lexical.SQL}
