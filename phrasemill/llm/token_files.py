@@ -31,6 +31,13 @@ PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
 
 
+#: Marks at which a word of letters is cut off.
+MARKS = b".,!?;:#$%&*"
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Every byte of Latin-1 as a letter (L), a blank (S), a mark (M) or something else (O).
+KINDS = bytes(ord("L" if LETTERS.fullmatch(chr(b)) else "S" if b in b" \t\n\x0b\x0c\r" else "M" if b in MARKS else "O") for b in range(256))
+
+
 class WordEncoder(dict):
     """Ids of words between blanks, as little-endian unsigned 32-bit integers.
 
@@ -45,45 +52,63 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,!?;:#$%&*])|[^ \t\n\r]+")
-        # Only letters: one unit to the tokenizer, whose last id, and no other, is that of a word's end.
-        self.letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        # A word of letters is one unit to the tokenizer, whose last id, and no other, is that of a word's end.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
+    def words_of(self, text: str) -> list[bytes] | list[str]:
+        """Pieces of a text: in Latin-1 and lower case where that is safe, else as strings."""
+        data = _small(text)
+        if isinstance(data, str):
+            return self.word.findall(data)
+        kinds = data.translate(KINDS)
+        if kinds[:1] == b"M" or b"OM" in kinds or b"MM" in kinds or b"SM" in kinds:
+            return [w.encode("latin-1") for w in self.word.findall(data.decode("latin-1"))]
+        for mark in MARKS:  # each follows a letter
+            if mark in data:
+                data = data.replace(b"%c" % mark, b" %c" % mark)
+        return data.split()
+
+    def learn(self, words: list[bytes] | list[str]) -> None:
         """Remember the ids of ``words``; some hundreds of plain ones go through the library as one text."""
-        plain = [w for w in words if self.letters.fullmatch(w)]
-        odd = [w for w in words if not self.letters.fullmatch(w)]
+        if words and isinstance(words[0], bytes):
+            texts = dict(zip(b" ".join(words).decode("latin-1").split(" "), words, strict=True))
+        else:
+            texts = dict(zip(words, words, strict=True))
+        plain = [t for t in texts if t.isalpha() and (t.isascii() or LETTERS.fullmatch(t))]
+        odd = list(texts.keys() - plain)
         groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
         codes = self.tokenizer.encode_batch_fast([*map(" ".join, groups), *odd], add_special_tokens=False)
         for group, code in zip(groups, codes):
             ids = np.array(code.ids, "<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             data = ids.tobytes()
-            for word, a, b in zip(group, [0, *ends[:-1]], ends, strict=True):
-                self[word] = data[a:b]
+            self.update(zip(map(texts.__getitem__, group), [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         for word, code in zip(odd, codes[len(groups):], strict=True):
-            self[word] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+            self[texts[word]] = struct.pack(f"<{len(code.ids)}I", *code.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.word.findall(_small(t)) for t in texts]
+        words = [self.words_of(t) for t in texts]
         if len(self) >= REMEMBERED:
             self.clear()
-        self.learn(list(set().union(*words).difference(self)))
+        new = list(set().union(*words).difference(self))
+        self.learn([w for w in new if isinstance(w, bytes)])
+        self.learn([w for w in new if isinstance(w, str)])
         return [b"".join(map(self.__getitem__, ws)) for ws in words]
 
 
-def _small(text: str) -> str:
-    """The text with A-Z in lower case, as the tokenizer will have it, so that fewer words differ.
+def _small(text: str) -> str | bytes:
+    """The text in Latin-1 with A-Z in lower case, as the tokenizer will have it, so that fewer words differ.
 
-    Only where that surely commutes with its other rules: no special token can
-    arise, and no combining mark could join a small letter and not a capital.
+    As it is where it has other characters, or where lower case might not
+    commute with the tokenizer's other rules: no special token can arise, and
+    no combining mark could join a small letter and not a capital.
     """
     try:
         data = text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text if b"<|" in data else data.lower().decode("latin-1")
+    return text if b"<|" in data else data.lower()
 
 
 @functools.lru_cache(maxsize=2)

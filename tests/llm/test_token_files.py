@@ -11,7 +11,8 @@ from phrasemill.llm.queries import WORDS, op8_token_files
 from phrasemill.llm.token_files import encoder_of, ids_crc32, read_tokens, write_tokens
 
 ODD = ["", " \n", "Ünder  the\t\tSEA", "don't we'll", "é ́x", "ΣΑΣ ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "日本　語 ½ x²", "\x1c\x85a b",
-       "x" * 4000, "1234 5,6", "###word *** 😀!", "ﬁ ﬀ", "<|ENDOFTEXT|>", "J\u030cx T\u0308 A\u030a", "It's THE'S word.Word,x thor### l'Été, ªº µ × ÷ ß,É!"]
+       "x" * 4000, "1234 5,6", "###word *** 😀!", "ﬁ ﬀ", "<|ENDOFTEXT|>", "J\u030cx T\u0308 A\u030a", "It's THE'S word.Word,x thor### l'Été, ªº µ × ÷ ß,É!",
+       "One, two. Three;four,five! Six\x0bseven\x0ceight\xa0nine, ten", ",first", "a ,b", "end,", "end.. x,. y", "a1, b2."]
 
 
 def test_words_give_whole_texts():
