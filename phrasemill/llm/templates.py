@@ -18,13 +18,13 @@ shape; it is looked up by its values, so that a copy is found.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +41,6 @@ COVERED = 13
 SHARE = 0.8
 #: Windows of the benchmark that may be broadcast; counted before.
 BROADCAST_WINDOWS = 500_000
-#: Words that a worker remembers at most.
-REMEMBERED = 300_000
 
 # Unit words, which count as units after a number only.
 UNITS = frozenset("""percent km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres centimeter
@@ -51,65 +49,151 @@ pound pounds lb lbs oz ounce ounces l ml liter liters litre litres gallon gallon
 hr hour hours day days week weeks month months year years mph kmh degree degrees dollar dollars cent cents euro euros usd
 eur byte bytes kb mb gb watt watts volt volts""".split())
 
-# Latin letters come first as the quickest to tell; the last kind of word holds all other letters.
-_TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ʯ]++|[.!?\n]|\d++(?:[.,:/]\d++)*+|[%$€£°]|[^\W\d_]++")
 _WORD, _TITLE, _NUMBER, _UNIT, _SIGN, _BREAK = range(6)
 _KIND = 7  # mask of the low bits
 _HELD = {_NUMBER: 0x5DEECE66D1234567, _UNIT: 0x2545F4914F6CDD1D, _TITLE: 0x369DEA0F31A53F85}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
+# What a character is. Latin letters end before other letters begin; those run on over all letters.
+_OTHER, _LATIN, _LETTER, _DIGIT, _POINT, _BETWEEN, _STOP, _MARK = range(8)
+_CHARACTERS = [(_LATIN, "[A-Za-zÀ-ÖØ-öø-ʯ]"), (_LETTER, r"[^\W\d_]"), (_DIGIT, r"\d"), (_POINT, "[.]"), (_BETWEEN, "[,:/]"),
+               (_STOP, "[!?\n]"), (_MARK, "[%$€£°]")]
 
-class Codes(dict):
-    """Hash and kind of each token, in one number; fills itself."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if token[0].isdigit():
-            kind = _NUMBER
-        elif token in ".!?\n":
-            kind = _BREAK
-        elif token in "%$€£°":
-            kind = _SIGN
-        elif token.lower() in UNITS:
-            kind = _UNIT
-        else:
-            kind = _TITLE if token[0].isupper() and token[1:].islower() else _WORD
-        self[token] = code = xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "replace")) >> 4 << 3 & 2**62 - 1 | kind
-        return code
-
-
-_codes = Codes()
-
-
-def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """As ``canonical``, which words are capitals that open a sentence, so may be names as well, and hashes of all values."""
-    tokens = _TOKEN.findall(text)
-    codes = np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
-    kinds = codes & _KIND
-    breaks = kinds == _BREAK
-    keep = np.flatnonzero(~breaks)
-    starts = np.concatenate([[True], breaks[:-1]])[keep] if len(tokens) else np.zeros(0, bool)
-    codes, kinds = codes[keep], kinds[keep]
-    # A sign is a unit beside a number, and else nothing.
-    numbers = np.concatenate([[False], kinds == _NUMBER, [False]])
-    beside = numbers[:-2] | numbers[2:]
-    stay = (kinds != _SIGN) | beside
-    kinds = np.where((kinds == _SIGN) | ((kinds == _UNIT) & numbers[:-2]), _UNIT, np.where(kinds == _UNIT, _WORD, kinds))
-    opening = ((kinds == _TITLE) & starts)[stay]
-    kinds = np.where((kinds == _TITLE) & starts, _WORD, kinds)[stay]
-    codes, keep = codes[stay], keep[stay]
-    literal = (codes >> 3).astype(np.uint64)
-    plain = literal.copy()
-    for kind in (_NUMBER, _UNIT):
-        plain[kinds == kind] = _HELD[kind]
-    named = np.where(kinds == _TITLE, np.uint64(_HELD[_TITLE]), plain)
-    return plain, named, kinds, [tokens[i] for i in keep.tolist()], opening, literal
+
+class Characters:
+    """Tables over code points: what a character is, its small letter, and whether it is a capital or a small letter."""
+
+    def __init__(self):
+        self.kind = np.full(0x110000, 255, dtype=np.uint8)
+        self.small = np.arange(0x110000, dtype=np.uint32)
+        self.case = np.zeros(0x110000, dtype=np.uint8)  # 1: capital, 2: small, 4: of another case, 8: a digit, raised ones too
+        self.learn(range(0x300))
+
+    def learn(self, points: Iterable[int]) -> None:
+        for point in points:
+            c = chr(point)
+            self.kind[point] = next((k for k, pattern in _CHARACTERS if re.match(pattern, c)), _OTHER)
+            self.small[point] = ord(small) if len(small := c.lower()) == 1 else point
+            self.case[point] = 1 if c.isupper() else 2 if c.islower() else 4 if c.istitle() else 8 if c.isdigit() else 0
+
+    def kinds(self, points: np.ndarray) -> np.ndarray:
+        found = self.kind[points]
+        if (found == 255).any():
+            self.learn(np.unique(points[found == 255]).tolist())
+            found = self.kind[points]
+        return found
+
+
+@functools.lru_cache(maxsize=1)
+def _characters() -> Characters:
+    return Characters()
+
+
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]))
+
+
+#: Running sums begin anew after so many characters.
+_BITS = 16
+_UP, _DOWN = _powers(_BASE, 1 << _BITS), _powers(_BACK, 1 << _BITS)
+
+
+def _token_hashes(small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each token, by its small letters: differences of running sums, so that few tokens are looked at alone."""
+    with np.errstate(over="ignore"):
+        values = small.astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values * np.resize(_UP, len(values)))])
+        out = (sums[ends] - sums[starts]) * _DOWN[starts & (1 << _BITS) - 1]
+        for k in np.flatnonzero(starts >> _BITS != (ends - 1) >> _BITS).tolist():
+            own = values[starts[k]:ends[k]]
+            out[k] = (own * _powers(_BASE, len(own))).sum()
+        out = (out ^ (out >> np.uint64(31))) * _BASE
+        return (out ^ (out >> np.uint64(29))) * _BASE
+
+
+@functools.lru_cache(maxsize=1)
+def _unit_hashes() -> np.ndarray:
+    words = sorted(UNITS)
+    ends = np.cumsum([len(w) for w in words])
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return np.sort(_token_hashes(points, ends - [len(w) for w in words], ends))
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, kind, and places from and to of the tokens of all texts end to end, and the first token of each text and the end.
+
+    Tokens are runs of letters, numbers (digits, with single marks between
+    them), signs beside which a number may stand, and ends of sentences. Places
+    count from the start of a text.
+    """
+    table = _characters()
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = table.kinds(points)
+    letter, digit = (kinds == _LATIN) | (kinds == _LETTER), kinds == _DIGIT
+    inner = np.zeros(len(kinds), dtype=bool)
+    inner[1:-1] = ((kinds[1:-1] == _POINT) | (kinds[1:-1] == _BETWEEN)) & digit[:-2] & digit[2:]
+    number, stop, sign = digit | inner, ((kinds == _POINT) & ~inner) | (kinds == _STOP), kinds == _MARK
+    before = lambda flags: np.concatenate([[False], flags[:-1]])
+    start = (letter & ~before(letter)) | (number & ~before(number)) | stop | sign
+    others = np.flatnonzero((kinds == _LETTER) & before(kinds == _LATIN))
+    if len(others):  # the first other letter of a run begins a token of its own
+        runs = np.flatnonzero(letter & ~before(letter))
+        seen = np.cumsum(kinds == _LETTER)
+        run = runs[np.searchsorted(runs, others, side="right") - 1]
+        start[others[seen[others] - seen[run] + (kinds[run] == _LETTER) == 1]] = True
+    inside = letter | number | stop | sign
+    borders = np.flatnonzero(start | (~inside & before(inside)))
+    opens = start[borders]
+    starts = borders[opens]
+    ends = np.append(borders[1:], len(points))[opens]
+    small = table.small[points]
+    hashes = _token_hashes(small, starts, ends)
+    case = table.case[points[starts]]
+    kind = np.full(len(starts), _WORD, dtype=np.int64)
+    lower, upper = (np.concatenate([[0], np.cumsum(c, dtype=np.int32)]) for c in (
+        (table.case[points] == 2), (table.case[points] & 5) > 0))
+    kind[(case == 1) & (lower[ends] > lower[np.minimum(starts + 1, ends)]) & (upper[ends] == upper[np.minimum(starts + 1, ends)])] = _TITLE
+    units = _unit_hashes()
+    kind[units[np.minimum(np.searchsorted(units, hashes), len(units) - 1)] == hashes] = _UNIT
+    kind[case == 8], kind[stop[starts]], kind[sign[starts]] = _NUMBER, _BREAK, _SIGN
+    bounds = np.cumsum(sizes) - sizes
+    first = np.searchsorted(starts, np.append(bounds, len(points)))
+    base = np.repeat(bounds, np.diff(first))
+    return (hashes & np.uint64(2**62 - 8)).astype(np.int64), kind, starts - base, ends - base, first
+
+
+def _parsed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int], str], np.ndarray, np.ndarray]]:
+    """As ``canonical`` for every text; also which words are capitals that open a sentence, so may be names as well, and hashes of all values."""
+    all_codes, all_kinds, starts, ends, first = _tokens(texts)
+    for text, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        codes, kinds = all_codes[a:b], all_kinds[a:b]
+        breaks = kinds == _BREAK
+        keep = np.flatnonzero(~breaks)
+        opens = np.concatenate([[True], breaks[:-1]])[keep] if a < b else np.zeros(0, bool)
+        codes, kinds = codes[keep], kinds[keep]
+        # A sign is a unit beside a number, and else nothing.
+        numbers = np.concatenate([[False], kinds == _NUMBER, [False]])
+        beside = numbers[:-2] | numbers[2:]
+        stay = (kinds != _SIGN) | beside
+        kinds = np.where((kinds == _SIGN) | ((kinds == _UNIT) & numbers[:-2]), _UNIT, np.where(kinds == _UNIT, _WORD, kinds))
+        opening = ((kinds == _TITLE) & opens)[stay]
+        kinds = np.where((kinds == _TITLE) & opens, _WORD, kinds)[stay]
+        codes, keep = codes[stay], keep[stay] + a
+        literal = codes.astype(np.uint64)
+        plain = literal.copy()
+        for kind in (_NUMBER, _UNIT):
+            plain[kinds == kind] = _HELD[kind]
+        named = np.where(kinds == _TITLE, np.uint64(_HELD[_TITLE]), plain)
+        yield plain, named, kinds, (lambda i, t=text, at=keep: t[starts[at[i]]:ends[at[i]]]), opening, literal
 
 
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(hashes without names, hashes with names, kinds, tokens) of a text; kinds other than words are placeholders."""
-    return _parsed(text)[:4]
+    plain, named, kinds, token, *_ = next(_parsed([text]))
+    return plain, named, kinds, [token(i) for i in range(len(kinds))]
 
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -135,7 +219,11 @@ def windows_of(text: str, widths: list[int], wanted: np.ndarray | None = None,
 
     Only windows with a key in ``wanted``, keys in order, if it is given.
     """
-    plain, named, kinds, tokens, opening, literal = _parsed(text)
+    return _windows(next(_parsed([text])), widths, wanted)
+
+
+def _windows(parsed: tuple, widths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str | None]]]:
+    plain, named, kinds, token, opening, literal = parsed
     titles = kinds == _TITLE
     values = (kinds == _NUMBER) | (kinds == _UNIT)
     none = np.zeros(len(plain), dtype=bool)
@@ -164,30 +252,30 @@ def windows_of(text: str, widths: list[int], wanted: np.ndarray | None = None,
             slots: list[str | None] = [None] * len(places)
             for i in np.flatnonzero(count[places]).tolist():
                 at = int(places[i])
-                slots[i] = "\x1f".join(f"{kinds[j]}{tokens[j].lower()}" for j in range(at, at + width) if held[j])
+                slots[i] = "\x1f".join(f"{kinds[j]}{token(j).lower()}" for j in range(at, at + width) if held[j])
             yield width, places, keys, slots
 
 
 def template_windows(df: DataFrame, key: str, text: str, widths: list[int], wanted: np.ndarray | None = None) -> DataFrame:
     """(key, place, width, window, slots) of all windows, or all ``wanted`` ones, of all rows with a key."""
     shipped = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
-    source = df.select(F.col(key).cast("long").alias(key), whole(text).alias("text")).filter(F.col(key).isNotNull())
+    source = df.select(F.col(key).alias(key), whole(text).alias("text")).filter(F.col(key).isNotNull())
     names = [key, "place", "width", "window", "slots"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, columns = [], [[], [], [], []]
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for width, places, keys, slots in windows_of(t, widths, shipped and shipped.value):
-                ids.append(np.full(len(places), i, np.int64))
+        rows, columns = [], [[], [], [], []]
+        for i, parsed in enumerate(_parsed(batch.column(1).to_pylist())):
+            for width, places, keys, slots in _windows(parsed, widths, shipped and shipped.value):
+                rows.append(np.full(len(places), i, np.int64))
                 for column, x in zip(columns, (places, np.full(len(places), width, np.int32), keys, slots), strict=True):
                     column.append(x)
         flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.RecordBatch.from_arrays([
-            pa.array(flat(ids, np.int64)), pa.array(flat(columns[0], np.int64), pa.int32()), pa.array(flat(columns[1], np.int32)),
+            batch.column(0).take(pa.array(flat(rows, np.int64))), pa.array(flat(columns[0], np.int64), pa.int32()), pa.array(flat(columns[1], np.int32)),
             pa.array(flat(columns[2], np.int64)), pa.array(list(itertools.chain.from_iterable(columns[3])), pa.string())], names)
 
     return source.mapInArrow(lambda batches: by_batch(batches, work, 128),
-                             f"`{key}` long, place int, width int, window long, slots string")
+                             f"`{key}` {source.schema[0].dataType.simpleString()}, place int, width int, window long, slots string")
 
 
 def _agree(pairs: dict[str, str], back: dict[str, str], mine: str | None, theirs: str | None) -> bool:
@@ -233,7 +321,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     # Widths: the full one, and those of shorter items; a handful at most.
     widths = sorted(r["w"] for r in sizes.select(F.least("size", F.lit(window)).alias("w")).distinct().collect())
     if not widths:
-        return df.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias(item), *_facts()).limit(0)
+        return df.select(F.col(key).alias(key), F.lit(0).cast("long").alias(item), *_facts()).limit(0)
     wanted = template_windows(spans, "item", "text", widths).join(sizes, "item").filter(
         F.col("width") == F.least("size", F.lit(window)))
     # One row for each window, so that a shape that many items share multiplies nothing.
@@ -248,11 +336,19 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         key, "hit.item", (F.col("place") - F.col("hit.at")).alias("line"), "hit.at", "width", "slots", "hit.theirs", "hit.size")
     hits = hits.distinct().repartition(parts_for(spark), key, "item").sortWithinPartitions(
         key, "item", "line", "at", "slots", "theirs")
-    schema = f"`{key}` long, item long, n_windows int, covered_tokens int, item_tokens int, share double, reworded boolean"
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, item long, n_windows int, covered_tokens int, item_tokens int, share double, reworded boolean"
     names = [key, "item", "n_windows", "covered_tokens", "item_tokens", "share", "reworded"]
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True))
+        kind = None
+
+        def read() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field(0).type
+                yield b
+
+        rows = (r for b in read() for r in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True))
         out = []
         for (doc, it), group in itertools.groupby(rows, key=lambda r: r[:2]):
             covered, n, other, size = set(), 0, False, 0
@@ -267,10 +363,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             if len(covered) >= COVERED or len(covered) >= SHARE * size:
                 out.append((doc, it, n, len(covered), size, len(covered) / size, other))
             if len(out) >= 10_000:
-                yield _rows(out, names)
+                yield _rows(out, names, kind)
                 out = []
         if out:
-            yield _rows(out, names)
+            yield _rows(out, names, kind)
 
     return hits.mapInArrow(verify, schema).withColumnRenamed("item", item)
 
@@ -280,6 +376,6 @@ def _facts() -> list:
             F.lit(0.0).alias("share"), F.lit(False).alias("reworded")]
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
+def _rows(rows: list[tuple], names: list[str], key: pa.DataType) -> pa.RecordBatch:
+    types = [key, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
