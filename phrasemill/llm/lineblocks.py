@@ -6,7 +6,8 @@ lines. Text lengths are summed over a sliding window of lines. Where the sum
 rises from nothing is a surge, where it falls back is a dive, and the lines
 between the two are one stretch of text. Kept are the lines of the page's
 article, or, where no element says which part that is, the stretches that hold
-a sentence or a heading and all between the first and the last of them.
+a sentence or a heading, all between the first and the last of them, and
+paragraphs before and after those.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import by_batch, whole
+from phrasemill.llm.common import by_batch, unused, whole
 
 #: Lines in a window.
 WINDOW = 3
@@ -29,7 +30,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre
 search section select summary table tbody td tfoot th thead title tr ul""".split())
 SPACES = frozenset(["br", "wbr"])
-RAW = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
+MEDIA = frozenset(["object", "svg", "math", "canvas", "audio", "video"])
 APART = frozenset("nav header footer aside form menu dialog search select button fieldset head".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 ARTICLE = frozenset(["article", "main"])
@@ -38,45 +40,68 @@ sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead
 cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
 login related recommended share sharing social toolbar widget pagination search contentinfo complementary dialog
 form""".split())
+AROUND = frozenset("""area article background bar block body bottom box button buttons card center col column container content
+desktop element embed feed frame global group head heading holder inline inner item items js large layer left link links list
+main message mobile outer page panel placement post posts primary prompt reader right row secondary section site slot small
+sticky thread top unit user view wrap wrapper zone""".split())
+PARAGRAPHS = frozenset(["p", "blockquote", "pre"])
 
 _RAW = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>")
 # A quoted value may hold ">"; one that holds "<" is taken for a quote that nobody closed.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""")
-_NAMES = re.compile(r"""(?is)(?<![\w-])(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
-_HIDDEN = re.compile(r"""(?is)(?<![\w-])hidden(?![\w-])|display\s*+:\s*+none|aria-hidden\s*+=\s*+["']?true""")
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""(?s)([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+_HINT = re.compile(r"(?i)hidden|none")
+_NONE = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: The end of a sentence.
 _PROSE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|\Z)|[。！？؟।]""")
 
 
-def _apart(name: str, attributes: str, inside: bool = False) -> bool:
-    """Whether an element's name or labels say that it holds no main text.
+def _names_part(label: str) -> bool:
+    """Whether a label such as ``comment-list`` names a part without main text, and nothing else beside where it stands."""
+    words = [w.lower() for w in _WORD.findall(label)]
+    return any(w in PARTS for w in words) and all(w in PARTS or w in AROUND for w in words)
 
-    ``inside`` an article a label counts as a whole, all its words must name
-    such parts; elsewhere one of them is enough. Headings are never told by labels.
-    """
-    if name in APART:
+
+def _apart(name: str, attributes: str) -> bool:
+    """Whether an element's name or labels say that it holds no main text. Headings are never told by labels."""
+    if name in APART or name in MEDIA:
         return True
     if name in ("html", "body") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    values = {a.lower(): v.strip("\"'") for a, v in _ATTRIBUTE.findall(attributes)}
+    if _HINT.search(attributes) and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or _NONE.search(values.get("style", ""))):
         return True
-    if name in HEADINGS:
-        return False
-    labels = [_WORD.findall(label) for v in _NAMES.findall(attributes) for label in v.lower().split()]
-    return any((all if inside else any)(w in PARTS for w in words) for words in labels if words)
+    return name not in HEADINGS and any(_names_part(label) for a in ("class", "id", "role") for label in values.get(a, "").split())
 
 
-def _closers(tags: list[re.Match]) -> dict[int, int]:
-    """For each opening tag the place of the tag that closes it, by the nesting of its own name."""
+def _closers(tags: list[re.Match], size: int) -> dict[int, tuple[int, int, int]]:
+    """For each opening tag: the tag where its element ends, and the place and the tag to go on from.
+
+    Elements end at the tag that closes them, by the nesting of their own name;
+    a paragraph that nothing closes ends where a block begins or ends, or with the page.
+    """
     stacks: dict[str, list[int]] = {}
     found = {}
+    paragraph: int | None = None
     for i, tag in enumerate(tags):
         name = tag[2].lower()
-        if not tag[1]:
-            stacks.setdefault(name, []).append(i)
+        if name in BLOCKS and paragraph is not None and not (tag[1] and name == "p"):
+            found[paragraph] = (i, tag.start(), i)
+            paragraph = None
+        if name == "p":
+            if not tag[1]:
+                paragraph = i
+            elif paragraph is not None:
+                found[paragraph] = (i, tag.end(), i + 1)
+                paragraph = None
+        elif not tag[1]:
+            if not (name in MEDIA and tag[3].endswith("/")):
+                stacks.setdefault(name, []).append(i)
         elif open_ := stacks.get(name):
-            found[open_.pop()] = i
+            found[open_.pop()] = (i, tag.end(), i + 1)
+    if paragraph is not None:
+        found[paragraph] = (len(tags), size, len(tags))
     return found
 
 
@@ -88,21 +113,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return [line[:3] for line in _lines(page)]
 
 
-def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """As ``lines_of``, and whether the line is a heading."""
+def _lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """As ``lines_of``, and whether the line is a heading, and whether it is a paragraph or a heading."""
     page = _RAW.sub(lambda m: "" if m[0].startswith("<!--") else "<hr>", page)
     tags = list(_TAG.finditer(page))
-    closers = _closers(tags)
+    closers = _closers(tags, len(page))
     articles = [i for i, t in enumerate(tags) if not t[1] and t[2].lower() in ARTICLE]
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, bool, bool, bool]] = []
     text: list[str] = []
+    block = ""
     linked = depth = links = headings = 0
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            lines.append((line, 0 if linked > len(line) / 2 else len(line), depth > 0, headings > 0))
+            lines.append((line, 0 if linked > len(line) / 2 else len(line), depth > 0, headings > 0, headings > 0 or block in PARAGRAPHS))
         text.clear()
         linked = 0
 
@@ -112,13 +138,14 @@ def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text.append(piece)
             linked += len(piece) if links else 0
 
-    wall, at, i = [("", 0, False, False)] * WINDOW, 0, 0
+    wall, at, i = [("", 0, False, False, False)] * WINDOW, 0, 0
     while i < len(tags):
         tag = tags[i]
         add(page[at:tag.start()])
         at, name = tag.end(), tag[2].lower()
         if name in BLOCKS or name in APART:
             flush()
+            block = "" if tag[1] else name
         elif name in SPACES:
             text.append(" ")
         if tag[1]:
@@ -127,17 +154,20 @@ def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
             headings -= name in HEADINGS and headings > 0
         else:
             end = closers.get(i)
-            holds = end is not None and any(i < a < end for a in articles)
-            if name not in ARTICLE and end is not None and not holds and _apart(name, tag[3], depth > 0):
+            if name not in ARTICLE and end is not None and _apart(name, tag[3]) and not any(i < a < end[0] for a in articles):
+                if name in MEDIA:  # stands in a line, or between two
+                    at, i = end[1:]
+                    continue
                 flush()
                 if name == "header" and depth:  # an article's own heading is part of it
-                    for j in range(i + 1, end):
+                    for j in range(i + 1, end[0]):
                         if not tags[j][1] and tags[j][2].lower() in HEADINGS and (stop := closers.get(j)):
-                            line = " ".join(html.unescape(_TAG.sub("", page[tags[j].end():tags[stop].start()])).split())
-                            lines.extend([(line, len(line), True, True)] if line else [])
+                            line = " ".join(html.unescape(_TAG.sub("", page[tags[j].end():tags[stop[0]].start()])).split())
+                            lines.extend([(line, len(line), True, True, True)] if line else [])
                 else:
                     lines.extend(wall)
-                at, i = tags[end].end(), end + 1
+                at, i = end[1:]
+                block = ""
                 continue
             depth += name in ARTICLE and end is not None
             links += name == "a" and end is not None
@@ -152,8 +182,8 @@ def main_text(page: str) -> list[str]:
     """The kept blocks of a page, in order."""
     lines = _lines(page)
     # Articles of links only do not tell where the main text is, unless the page has no other text.
-    if any(inside and weight for _, weight, inside, _ in lines) or not any(weight for _, weight, *_ in lines):
-        return [text for text, _, inside, _ in lines if inside and text]
+    if any(line[2] and line[1] for line in lines) or not any(line[1] for line in lines):
+        return [line[0] for line in lines if line[2] and line[0]]
     weights = [line[1] for line in lines]
     sums, total = [], sum(weights[:WINDOW])
     for i in range(len(weights)):
@@ -170,10 +200,12 @@ def main_text(page: str) -> list[str]:
         stretches.append(range(surge, i))
     told = [n for n, stretch in enumerate(stretches) if any(
         lines[i][1] and (lines[i][3] or _PROSE.search(lines[i][0])) for i in stretch)]
-    if told:  # else there is nothing to tell by
-        stretches = stretches[told[0]:told[-1] + 1]
-    kept = {i for stretch in stretches for i in stretch}
-    return [text for i, (text, _, inside, _) in enumerate(lines) if text and (inside or i in kept)]
+    kept = set()
+    for n, stretch in enumerate(stretches):
+        # Before the first and after the last that tell, paragraphs are an opening or closing line; with none, nothing tells.
+        outer = told and not told[0] <= n <= told[-1]
+        kept.update(i for i in stretch if not outer or (lines[i][4] and lines[i][1]))
+    return [line[0] for i, line in enumerate(lines) if line[0] and (line[2] or i in kept)]
 
 
 def extract_pages(df: DataFrame, html_column: str = "html", text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -183,7 +215,7 @@ def extract_pages(df: DataFrame, html_column: str = "html", text: str = "text",
     are independent, so repeated rows and ties need no rule; columns with the
     names of the new ones are replaced; an empty table gives an empty table.
     """
-    held = "__page"
+    held = unused(df, "page")
     kept = [c for c in df.columns if c not in (html_column, text, chars)]
     source = df.withColumn(held, whole(html_column)).select(*kept, held)
     schema = source.drop(held).withColumns({text: F.lit(""), chars: F.lit(0).cast("long")}).schema

@@ -48,6 +48,38 @@ def test_labels_in_an_article():
     assert main_text(f"<article><p>Text.</p>{kept}{gone}</article>") == ["Text.", "Related work", "Found.", "Two weeks.", "Comments"]
 
 
+def test_labels_of_two_words():
+    gone = "".join(f"<div class='{c}'><p>Gone.</p></div>" for c in (
+        "comment-list", "ad-slot", "sidebar-left", "related-posts", "comments-section", "postComments", "box site_footer", "cookie-notice"))
+    kept = "".join(f"<div id='{c}'><p>{c}.</p></div>" for c in ("search-results-study", "with-sidebar", "notice-period", "formula-1", "related-work"))
+    want = ["Text.", "search-results-study.", "with-sidebar.", "notice-period.", "formula-1.", "related-work."]
+    assert main_text(f"<article><p>Text.</p>{gone}{kept}</article>") == want == main_text(f"<body><p>Text.</p>{gone}{kept}</body>")
+
+
+def test_hidden():
+    shown = ["style='overflow:hidden'", "title='hidden gems'", "data-hidden=1", "aria-hidden=false", "style='display:block'", "class=hidden-gems"]
+    gone = ["hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display: none'", "style=display:none"]
+    for page in ("<article>{}</article>", "<body>{}</body>"):
+        assert main_text(page.format("".join(f"<div {a}><p>Text {i}.</p></div>" for i, a in enumerate(shown)))) == [f"Text {i}." for i in range(len(shown))]
+        assert main_text(page.format("<p>A.</p>" + "".join(f"<div {a}><p>Gone.</p></div>" for a in gone) + "<p>B.</p>")) == ["A.", "B."]
+
+
+def test_media():
+    assert main_text("<article><p>One <svg viewBox='0'/> two.<p>Three <svg><title>no</title><text>no</text></svg>four.</p>"
+                     "<video src=x><p>Five.</p><video>no player</video></article>") == ["One two.", "Three four.", "Five."]
+
+
+def test_opening_and_closing_lines():
+    page = ("<body><ul><li>Home</ul><p>An opening line</p><div class=ad>Buy.</div><p>The text. It goes on.</p><div class=ad>Buy.</div>"
+            "<p>A closing line</p><p><a href=x>More of this</a></p><ul><li>Contact</ul></body>")
+    assert main_text(page) == ["An opening line", "The text. It goes on.", "A closing line"]
+
+
+def test_open_paragraphs():
+    assert main_text("<article><p>One.<p class=ad>Buy.<p>Two.<p class=ad>Buy.<div>Three.</div><div><p class=ad>Buy.</div>Four.<p class=ad>Buy.") == [
+        "One.", "Two.", "Three.", "Four."]
+
+
 def test_walls_and_weights():
     lines = lines_of("<p>abc</p><nav>no</nav><p><a href=x>linked</a> z</p>")
     assert lines == [("abc", 3, False), ("", 0, False), ("", 0, False), ("", 0, False), ("linked z", 0, False)]
@@ -64,8 +96,8 @@ def test_broken():
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "", 5), (None, None, "<p>long " + "w " * 50_000, 5)],
-                               "page_id long, url string, html string, n_chars int")
+    df = spark.createDataFrame([(1, "u", None, 5, 1), (1, "u", "", 5, 1), (None, None, "<p>long " + "w " * 50_000, 5, 1)],
+                               "page_id long, url string, html string, n_chars int, page int")
     got = extract_pages(df).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("1", 0), ("None", 100_004)]
     assert extract_pages(df.limit(0)).count() == 0
