@@ -27,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import by_batch, parts_for, whole
+from phrasemill.llm.common import by_batch, parts_for, unused, whole
 from phrasemill.session import written
 
-#: Labelled rows to fit on, at most, and windows for the shared dictionary, at most.
+#: Labelled rows to fit on, at most, and windows of those rows that the shared dictionary is trained on, at most.
 FIT_DOCS = 6000
 FIT_WINDOWS = 30_000
 WINDOW_WORDS = 8
 #: A window without blanks is cut into pieces of this many bytes.
 WINDOW_BYTES = 400
+#: Texts with more characters are cut into strings piece by piece.
+LONG = 200_000
 SHARED_BYTES = 64 << 10
 OWN_BYTES = 4 << 10
 #: Strings that tell the classes apart: characters, and standard errors between their rates.
@@ -59,12 +61,34 @@ def strings(text: str) -> set[str]:
     """All short strings of a text's words, their blanks included."""
     found = set()
     for word in set(text.lower().split()):
-        held = f" {word[:200]} "
+        held = f" {word} "
         for n in STRING:
             found.update(held[i:i + n] for i in range(len(held) - n + 1))
     return found
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, y, s): the strings of texts, a part of a text at a time, so some more than once."""
+    step = LONG // 10
+
+    def told(row: int, y: int, found: set[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([y] * len(found), pa.int32()),
+                                           pa.array(list(found), pa.string())], ["row", "y", "s"])
+
+    for batch in batches:
+        for row, text, y in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "y")), strict=True):
+            found: set[str] = set()
+            for word in set(text.lower().split()):
+                held = f" {word} "
+                for at in range(0, len(held), step):
+                    piece = held[at:at + step + STRING[-1] - 1]
+                    found.update(piece[i:i + n] for n in STRING for i in range(len(piece) - n + 1))
+                    if len(found) > LONG:
+                        yield told(row, y, found)
+                        found = set()
+            yield told(row, y, found)
+
+
 @dataclass
 class Dictionaries:
     """Content of the two dictionaries."""
@@ -125,7 +149,7 @@ def telling(counts: dict[str, tuple[int, int]], rows: tuple[int, int]) -> tuple[
 
 
 def _own(found: list[tuple[str, int]]) -> bytes:
-    samples = [(s * 4).encode() for s, n in found for _ in range(min(n, 200))]
+    samples = [(s * 4).encode() for s, n in found for _ in range(n)]
     random.Random(1).shuffle(samples)  # the trainer takes its samples in turn
     return _trained(samples, OWN_BYTES, k=20, d=8)
 
@@ -182,6 +206,11 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
         flat = np.array([0.0, 0.0, 50.0 if share else -50.0])
         return Model(Dictionaries(b"", b""), np.zeros(MOST - LEAST + 1), flat)
 
+    # A text with a very long word has too many strings for one set: it goes through in pieces, and Spark drops the repeats.
+    long = F.length("text") > LONG
+    each = sample.filter(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_pieces, "row long, y int, s string").distinct()
+    pieces = each.groupBy("s").agg(F.count_if(F.col("y") == 0).alias("o"), F.count_if(F.col("y") == 1).alias("t"))
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[collections.Counter, collections.Counter] = (collections.Counter(), collections.Counter())
         for batch in batches:
@@ -193,12 +222,16 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(
                 pa.array([c[s] for s in part], pa.int64()) for c in seen)], ["s", "o", "t"])
 
-    # At least five documents, and rates that differ by the error wanted: a few thousand strings at most.
+    # At least five documents, and rates that differ by the error wanted.
     p = (F.col("o") + F.col("t")) / sum(n)
     z = (F.col("t") / n[1] - F.col("o") / n[0]) / F.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    far = (sample.mapInArrow(count, "s string, o long, t long").groupBy("s").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-           .filter((F.col("o") + F.col("t") >= 5) & (F.abs(z) >= APART)).orderBy(F.desc(F.abs(z)), "s").limit(5000).collect())
-    toxic, ordinary = telling({r["s"]: (r["o"], r["t"]) for r in far}, n)
+    far = written(sample.filter(~long).mapInArrow(count, "s string, o long, t long").unionByName(pieces).groupBy("s").agg(
+        F.sum("o").alias("o"), F.sum("t").alias("t")).filter((F.col("o") + F.col("t") >= 5) & (F.abs(z) >= APART)), "telling")
+    # Strings that are always part of the same longer one say nothing of their own.
+    parts = far.filter(F.length("s") > STRING[0]).select(F.explode(F.array(
+        F.expr("substr(s, 1, length(s) - 1)"), F.expr("substr(s, 2)"))).alias("s"), "o", "t")
+    told = far.join(parts.distinct(), ["s", "o", "t"], "left_anti").collect()
+    toxic, ordinary = telling({r["s"]: (r["o"], r["t"]) for r in told}, n)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +266,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", score: str =
     need no rule; a column named ``score`` is replaced; an empty table gives an
     empty table.
     """
-    held = "__text"
+    held = unused(df, "held")
     kept = [c for c in df.columns if c != score]
     source = df.withColumn(held, whole(text)).select(*kept, held)
     schema = source.drop(held).withColumn(score, F.lit(0.0)).schema

@@ -54,6 +54,25 @@ def test_windows():
     assert b"".join(toxicity.windows("x" * 1000)) == b" " + b"x" * 1000 + b" "
 
 
+@pytest.mark.parametrize("long", [200_000, 50])
+def test_every_string_is_learnt(spark, monkeypatch, long):
+    """A telling string far inside a text without blanks, and more telling words than a list of fixed length would hold."""
+    monkeypatch.setattr(toxicity, "LONG", long)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklm"))
+    made = lambda n: "".join(rng.choice(letters, n))
+    bad = [f"z{made(6)}z" for _ in range(200)]
+    rows = [(i, made(260) + ("qqxxyyqq" if i % 2 else "") + made(20), i % 2) for i in range(400)]
+    rows += [(1000 + i, " ".join([made(5), *(bad if i % 2 else []), made(5)]), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(df, df)
+    assert b"qqxxyyqq" in model.dictionaries.toxic
+    test = spark.createDataFrame([(1, made(300) + "qqxxyyqq" + made(300)), (2, made(600)), *[(10 + i, f"{made(4)} {b} {made(5)}") for i, b in enumerate(bad)]],
+                                 "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(test, model).collect()}
+    assert score[1] > score[2]
+
+
 def test_telling_strings():
     counts = {" bad ": (1, 50), "bad": (2, 50), " the ": (90, 95), "ba": (30, 60)}
     assert toxicity.telling(counts, (100, 100)) == ([(" bad ", 51)], [])
