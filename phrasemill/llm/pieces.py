@@ -22,12 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import by_batch, list_of, whole
+from phrasemill.llm.common import by_batch, list_of, unused, whole
 
 MARK = "▁"
 #: Parts of at most this many symbols are merged together, longer ones one by one.
 SHORT = 24
-HELD = "__text"
 NONE = np.int32(2**31 - 1)
 #: Parts that a worker remembers at most; beyond that it starts anew, which changes no result.
 REMEMBERED = 300_000
@@ -195,11 +194,12 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", ids: str = "ids
     replaced. With ``check`` off, ``agrees`` is null.
     """
     kept = [c for c in df.columns if c not in (ids, agrees)]
-    source = df.withColumn(HELD, whole(text)).select(*kept, HELD)
-    schema = source.drop(HELD).withColumns({ids: F.array(F.lit(0)), agrees: F.lit(None).cast("boolean")}).schema
+    held = unused(df, "text")
+    source = df.withColumn(held, whole(text)).select(*kept, held)
+    schema = source.drop(held).withColumns({ids: F.array(F.lit(0)), agrees: F.lit(None).cast("boolean")}).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed, same = encoder_of(model).whole(batch.column(HELD).to_pylist(), begin_end, check)
+        packed, same = encoder_of(model).whole(batch.column(held).to_pylist(), begin_end, check)
         lengths = np.array([len(p) // 4 for p in packed], dtype=np.int64)
         flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
         return pa.RecordBatch.from_arrays(
@@ -233,14 +233,14 @@ def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text
     decoded text in UTF-8. Nulls, empty texts and tables as in ``encode_pieces``;
     further columns are not read.
     """
-    source = df.select(F.col(key).alias(key), whole(text).alias(HELD))
+    source = df.select(F.col(key).alias(key), whole(text).alias("held"))
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
     schema = source.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
                            F.lit("").alias("decoded_sha256"), F.lit(True).alias("library_agrees")).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = encoder_of(model)
-        packed, same = encoder.whole(batch.column(HELD).to_pylist(), True)
+        packed, same = encoder.whole(batch.column(1).to_pylist(), True)
         ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
         decoded = encoder.library.decode(ids, num_threads=1) if ids else []
         digest = lambda data: hashlib.sha256(data).hexdigest()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import by_batch, list_of, whole
+from phrasemill.llm.common import by_batch, list_of, unused, whole
 from phrasemill.session import written
 
 #: Trusted and unlabelled rows to fit on, at most.
@@ -66,7 +66,7 @@ def features(text: str) -> list[float]:
 
 def feature_table(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the features of each text in place of it; a null text counts as empty."""
-    held = "__text"
+    held = unused(df, "held")
     kept = [c for c in df.columns if c not in (text, "shape")]
     source = df.withColumn(held, whole(text)).select(*kept, held)
     schema = source.drop(held).withColumn("shape", F.array(F.lit(0.0))).schema
@@ -223,7 +223,7 @@ def score_quality(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
 
 def score_texts(df: DataFrame, network: Network, text: str = "text", score: str = "score") -> DataFrame:
     """``df`` with the probability that each text is good, in one pass that keeps every column."""
-    held = "__text"
+    held = unused(df, "held")
     kept = [c for c in df.columns if c != score]
     source = df.withColumn(held, whole(text)).select(*kept, held)
     shipped = df.sparkSession.sparkContext.broadcast(network)
