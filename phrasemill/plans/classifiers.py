@@ -12,15 +12,13 @@ from itertools import product
 from typing import Any
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 
+from phrasemill.operators.forest import Forest, Growth, subset
 from phrasemill.operators.kernel import FourierFeatures, MarginProbabilities
 from phrasemill.operators.knn import KNNClassifier
 
 
-MOST_LEVELS = 30  # of a tree in Spark
-
-
 @dataclass(frozen=True)
 class Shape:
     """What an estimator has to know of its training data."""
@@ -34,12 +32,9 @@ def nearest_neighbours(shape: Shape, n_neighbors: int = 5, weights: str = "unifo
 
 
 def random_forest(shape: Shape, n_estimators: int = 100, criterion: str = "gini", max_depth: int | None = None,
-                  max_features: str | None = "auto", min_samples_leaf: int = 1, seed: int = 17) -> Estimator:
-    """Unlimited or deeper trees than 30 levels get 30, the most that Spark builds; ``same_model`` tells which meet."""
-    subset = {"auto": "sqrt", "sqrt": "sqrt", "log2": "log2", None: "all"}[max_features]
-    return RandomForestClassifier(
-        numTrees=n_estimators, impurity=criterion, maxDepth=min(max_depth or MOST_LEVELS, MOST_LEVELS), featureSubsetStrategy=subset,
-        minInstancesPerNode=min_samples_leaf, seed=seed, maxMemoryInMB=1024)
+                  max_features: str | None = "auto", min_samples_split: int = 2, min_samples_leaf: int = 1, seed: int = 17) -> Estimator:
+    return Forest(shape.dim, shape.classes, n_estimators, Growth(
+        criterion, subset(max_features, shape.dim), max_depth, min_samples_split, min_samples_leaf, seed))
 
 
 def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), activation: str = "logistic",
@@ -97,15 +92,10 @@ CLASSIFIERS: dict[str, Kind] = {
 
 
 def same_model(name: str, settings: dict[str, Any]) -> dict[str, Any]:
-    """The settings as Spark fits them; equal ones need one fit only."""
-    if name != "RandomForestAlgorithm":
-        return settings
-    out = dict(settings)
-    if "max_depth" in out:
-        out["max_depth"] = min(out["max_depth"] or MOST_LEVELS, MOST_LEVELS)
-    if out.get("max_features") == "auto":
-        out["max_features"] = "sqrt"
-    return out
+    """The settings with one of several names for the same thing; equal ones need one fit only."""
+    if name == "RandomForestAlgorithm" and settings.get("max_features") == "auto":
+        return settings | {"max_features": "sqrt"}
+    return settings
 
 
 def combinations(grid: dict[str, list[Any]]) -> list[dict[str, Any]]:

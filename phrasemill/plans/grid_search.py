@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from phrasemill.functions.params import params_text
 from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
+from phrasemill.operators.forest import forest_votes, grow_forest
 from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
 from phrasemill.operators.reduce import project
 from phrasemill.plans.classifiers import CLASSIFIERS, combinations, same_model
@@ -109,6 +110,29 @@ def cross_validate(rows: DataFrame, name: str, settings: dict[str, Any], folds:
     return reduce(DataFrame.unionByName, parts)
 
 
+def forest_scores(train: DataFrame, settings: list[dict[str, Any]], folds: int, fold: str = "cv_fold") -> list[float]:
+    """Cross-validation scores of forests: settings that differ in depth only are cuts of one forest for each fold."""
+    shape, name = shape_of(train), "RandomForestAlgorithm"
+    shared: dict[str, list[tuple[int, int | None]]] = {}
+    builds: dict[str, dict[str, Any]] = {}
+    for i, one in enumerate(settings):
+        rest = {k: v for k, v in same_model(name, one).items() if k != "max_depth"}
+        builds[params_text(rest)] = rest
+        shared.setdefault(params_text(rest), []).append((i, one.get("max_depth")))
+    scores = [0.0] * len(settings)
+    for text, cuts in shared.items():
+        depths = list(dict.fromkeys(d for _, d in cuts))
+        deepest = None if None in depths else max(depths)
+        forest = CLASSIFIERS[name].build(shape, **builds[text], max_depth=deepest)
+        trees = written(grow_forest(train, shape.classes, forest.trees, forest.growth, apart=fold, parts=folds), "trees")
+        votes = forest_votes(train, trees, shape.classes, depths, ["row_id", "label"], apart=fold)
+        right = (F.array_position("votes", F.array_max("votes")) - 1 == F.col("label")).cast("int")
+        found = {r["depth_no"]: r["cv"] for r in votes.groupBy("depth_no").agg(F.round(100.0 * F.avg(right), 2).alias("cv")).collect()}
+        for i, depth in cuts:
+            scores[i] = found[depths.index(depth)]
+    return scores
+
+
 def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None, folds: int = 5,
                 parallelism: int = 4, dims: int | None = None, embedding: tuple[str, str, str] = ("TableEmbedding", "vectors,0", "SumEmbedding"),
                 ) -> tuple[DataFrame, DataFrame]:
@@ -126,11 +150,13 @@ def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None,
         predictions = cross_validate(train, name, one, folds, "cv_fold", dims)
         return predictions.agg(F.round(100.0 * F.avg(correct()), 2)).first()[0]
 
-    # Settings that give the same model are fitted once.
-    distinct = {params_text(same_model(name, s)): same_model(name, s) for s in settings}
-    with ThreadPool(parallelism) as pool:
-        found = dict(zip(distinct, pool.map(inheritable_thread_target(spark)(score), distinct.values())))
-    scores = [found[params_text(same_model(name, s))] for s in settings]
+    if name == "RandomForestAlgorithm" and not dims:
+        scores = forest_scores(train, settings, folds)
+    else:  # settings that give the same model are fitted once
+        distinct = {params_text(same_model(name, s)): same_model(name, s) for s in settings}
+        with ThreadPool(parallelism) as pool:
+            found = dict(zip(distinct, pool.map(inheritable_thread_target(spark)(score), distinct.values())))
+        scores = [found[params_text(same_model(name, s))] for s in settings]
     best = settings[scores.index(max(scores))]
     known, everything = reduced(train, split, dims)
     model = CLASSIFIERS[name].build(shape_of(known), **best).fit(as_features(known))
