@@ -6,12 +6,12 @@ together from common table expressions.
 
 from __future__ import annotations
 
+from phrasemill.functions.params import params_text
 from phrasemill.functions.tokens import SMALL_NUMBERS
 from phrasemill.operators.words import COLOURS
-from phrasemill.plans.classifiers import CLASSIFIERS
-from phrasemill.plans.tables import CATEGORIES, RUNS
+from phrasemill.plans.classifiers import CLASSIFIERS, combinations
+from phrasemill.plans.tables import CATEGORIES, DIM, RUNS, SOME_NEIGHBOURS
 
-DIM = 64
 CATS = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 NAMES = "[" + ", ".join(f"'{n}'" for n in SMALL_NUMBERS) + "]"
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -194,7 +194,8 @@ CAST(list_sum(list_transform(vec, lambda x: CAST(round(x * 1000000) AS BIGINT)))
 ORACLE["vocab_coverage"] = _with(*WORDS) + """
 SELECT count(*) AS words, count(v.word) AS covered, round(100.0 * count(v.word) / count(*), 2) AS percent
 FROM dfreq LEFT JOIN vectors v ON v.word = dfreq.word"""
-ORACLE["oov_words"] = _with(*WORDS) + "SELECT word, df FROM dfreq ANTI JOIN vectors USING (word)"
+ORACLE["oov_words"] = _with(DOCS, LISTS.replace("AS (", "AS MATERIALIZED (", 1), VOCAB.split(",\nvectors AS")[0]) + """
+SELECT word, df FROM vocab LEFT JOIN embeddings ON rank = vec_id WHERE vec_id IS NULL"""
 ORACLE["token_vectors"] = _with(*WORDS, _positions("toks", "lists", "row_id")) + """
 SELECT row_id, count(*) AS covered, CAST(min(pos) AS INTEGER) AS first_pos, CAST(sum(rank) AS BIGINT) AS rank_sum,
 CAST(sum(CAST(round(vec[1] * 1000000) AS BIGINT)) AS BIGINT) AS units FROM toks JOIN vectors USING (word) GROUP BY row_id"""
@@ -331,6 +332,34 @@ for _name in ("rf_predict", "mlp_predict", "svm_predict"):
     ORACLE[_name] = _with(*TEXTS, _ntile(5, "cut", "lists")) + """
 SELECT row_id, label, true AS consistent, true AS in_band, true AS settled FROM cut WHERE fold = 0"""
 
+ORACLE["grid_search_rf"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('RandomForestAlgorithm', {i}, 'TableEmbedding', 'vectors,0', 'SumEmbedding', '{params_text(one).replace(chr(39), chr(39) * 2)}', true)"
+    for i, one in enumerate(combinations(CLASSIFIERS["RandomForestAlgorithm"].grid))) + """
+) t(classifier, line_no, word_emb, word_emb_params, sent_emb, params, in_band)"""
+
+
+def _pair(points: str, params: str, sent_emb: str) -> str:
+    """The neighbour search over one table of text vectors, with the distance as a function of two lists."""
+    near = [part.replace(_distance(2), "round(list_distance(q.vec, t.vec), 9)")
+            for part in _grid(SOME_NEIGHBOURS["n_neighbors"], SOME_NEIGHBOURS["p"], TRAIN, "cv_fold")]
+    return "(" + _with(f"points AS (SELECT * FROM {points})", *SPLIT, *near) + f"""
+SELECT 'NearestNeighborsAlgorithm' AS classifier, '{params}' AS word_emb_params, '{sent_emb}' AS sent_emb, CAST(n_neighbors AS INTEGER) AS n_neighbors,
+weights, round(100.0 * avg(CAST(label = prediction AS INTEGER)), 2) AS cv FROM picked GROUP BY n_neighbors, weights)"""
+
+
+def _joined_vectors(name: str, dim: int) -> str:
+    return f"""{name} AS (SELECT row_id, label, list_resize(coalesce(vec, []), {30 * dim}, 0.0) AS vec FROM lists LEFT JOIN (
+SELECT row_id, flatten(list(vec[1:{dim}] ORDER BY slot)) AS vec FROM firsts GROUP BY row_id) USING (row_id))"""
+
+
+ORACLE["grid_search_all"] = _with(
+    *WORDS, _sums("sum64", "lists", "row_id, label"), f"sum32 AS (SELECT row_id, label, vec[1:{DIM // 2}] AS vec FROM sum64)",
+    _positions("toks", "lists", "row_id"), """firsts AS (SELECT * FROM (
+SELECT row_id, vec, row_number() OVER (PARTITION BY row_id ORDER BY pos) AS slot FROM toks JOIN vectors USING (word)) WHERE slot <= 30)""",
+    _joined_vectors("joined64", DIM), _joined_vectors("joined32", DIM // 2)) + " UNION ALL ".join(
+    _pair(p, params, sent) for p, params, sent in (("sum64", "whole,64", "SumEmbedding"), ("joined64", "whole,64", "ConcatenationEmbedding"),
+                                                   ("sum32", "half,32", "SumEmbedding"), ("joined32", "half,32", "ConcatenationEmbedding")))
+
 # Choosing texts
 
 ORACLE["select_labelled"] = f"""
@@ -371,6 +400,11 @@ SELECT line_no, classifier, word_emb, word_emb_path, dim, sent_emb, cv, '(100, 5
 'None' AS max_depth, CAST(n_neighbors AS VARCHAR) AS n_neighbors, CAST(p AS VARCHAR) AS p, weights,
 sent_emb AS sentence_embedding, word_emb || '(' || word_emb_path || ',' || CAST(dim AS VARCHAR) || ')' AS word_embedding
 FROM results"""
+HUNDREDTHS = "count(*) AS n, CAST(sum(CAST(round(100 * cv) AS BIGINT)) AS BIGINT) AS hundredths"
+ORACLE["read_result_folder"] = _with(RESULTS, FIRST, SCORES) + f"""
+SELECT classifier, 'result' AS kind, word_emb, sent_emb, {HUNDREDTHS} FROM results GROUP BY classifier, word_emb, sent_emb
+UNION ALL SELECT classifier, split, word_emb, sent_emb, {HUNDREDTHS.replace("cv", "score")} FROM evaluations
+GROUP BY classifier, split, word_emb, sent_emb"""
 ORACLE["best_params"] = _with(RESULTS, FIRST) + f"SELECT {BEST}, CAST(n_neighbors AS VARCHAR) AS n_neighbors FROM best"
 ORACLE["best_with_evaluation"] = _with(RESULTS, FIRST, SCORES) + f"SELECT {BEST}, test_score, train_score FROM evaluated"
 ORACLE["best_overall"] = _with(RESULTS, FIRST) + f"""

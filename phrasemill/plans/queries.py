@@ -16,7 +16,7 @@ from phrasemill.operators.knn import KNNClassifier, neighbours
 from phrasemill.operators.lookup import attach_vectors, token_stream, unknown_words
 from phrasemill.operators.select import expand_training_set, select_labelled
 from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_similarity
-from phrasemill.plans import analysis, grid_search, sweep, tables
+from phrasemill.plans import analysis, grid_search, search_all, sweep, tables
 from phrasemill.plans.classifiers import unsettled
 from phrasemill.plans.score import class_scores, fit_best, fit_classifier, is_confident, score_texts
 from phrasemill.session import new_path, spread_small, written
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 N = len(tables.CATEGORIES)
 BEST = {"n_neighbors": 12, "weights": "distance", "p": 1}
 BAND = 0.85  # share of held-out texts that every kind of model gets right
+STUMPS = 0.6  # of forests with one split a tree
 RECORDED = {"n_estimators": 1000, "criterion": "gini", "max_features": "sqrt", "max_depth": 20}  # the best forest on record
 
 
@@ -465,6 +466,23 @@ def parse_grid_results(spark, folder):
         *[F.col("params")[n].alias(n.lower().replace(" ", "_")) for n in names])
 
 
+@query("read_result_folder")
+def read_result_folder(spark, folder):
+    """Result, evaluation and sweep files of several classifiers side by side in a folder, and what is read of each kind."""
+    path = new_path(spark, "summaries")
+    lines, told = tables.result_lines(spark, folder), tables.evaluation_lines(spark, folder)
+    for name in tables.RUNS:
+        results.write_lines(lines.where(F.col("classifier") == name), path, "log_of", name, results.RESULTS)
+        for split, kind in (("test", results.EVALUATION), ("train", results.TRAIN_EVALUATION)):
+            results.write_lines(told.where((F.col("classifier") == name) & (F.col("split") == split)), path, "log_of", name, kind)
+    results.write_lines(told.select(F.lit("3;0.5;0.25;1.0").alias("value")), path, "log_of", "view", "pca")
+    read = [results.read_results(spark, path).select("classifier", F.lit("result").alias("kind"), "word_emb", "sent_emb", F.col("cv").alias("score")),
+            *[results.read_evaluations(spark, path, s).select("classifier", F.col("split").alias("kind"), "word_emb", "sent_emb", "score")
+              for s in ("test", "train")]]
+    return read[0].unionByName(read[1]).unionByName(read[2]).groupBy("classifier", "kind", "word_emb", "sent_emb").agg(
+        F.count("*").alias("n"), F.sum(F.round(100 * F.col("score")).cast("long")).alias("hundredths"))
+
+
 BEST_COLUMNS = ["classifier", "line_no", "word_emb", "word_emb_params", "sent_emb", "cv"]
 
 
@@ -558,7 +576,32 @@ def svm_predict(spark, folder):
 def grid_search_rf(spark, folder):
     rows, _ = tables.text_points(spark, folder)
     found, _ = grid_search.grid_search(rows, "RandomForestAlgorithm")
-    return found
+    stump = F.col("params").contains("'max_depth': 1,")
+    return found.select("classifier", "line_no", "word_emb", "word_emb_params", "sent_emb", "params",
+                        (F.col("cv") >= F.when(stump, 100 * STUMPS).otherwise(100 * BAND)).alias("in_band"))
+
+
+@query("grid_search_all")
+def grid_search_all(spark, folder):
+    """Two tables of word vectors, the second one with the first half of the dimensions, times two kinds of text vectors."""
+    lists = written(tables.word_lists(spark, folder), "lists")
+    whole = tables.ranked_vectors(spark, folder, lists)
+    half = whole.withColumn("vec", F.slice("vec", F.lit(1), F.lit(tables.DIM // 2)))
+    found, _ = search_all.search_all(
+        lists, {("TableEmbedding", "whole,64"): whole, ("TableEmbedding", "half,32"): half},
+        {"SumEmbedding": sum_embedding, "ConcatenationEmbedding": concat_embedding}, {"NearestNeighborsAlgorithm": tables.SOME_NEIGHBOURS},
+        new_path(spark, "search"))
+    return results.parse_results(found.withColumn("value", results.result_line(
+        F.col("word_emb"), F.col("word_emb_params"), F.col("sent_emb"), F.col("params"), F.col("cv"))).select("classifier", "value")).select(
+            "classifier", "word_emb_params", "sent_emb", F.col("params")["n_neighbors"].cast("int").alias("n_neighbors"),
+            F.col("params")["weights"].alias("weights"), "cv")
+
+
+@query("decision_trees")
+def decision_trees(spark, folder):
+    """What each tree of a small forest on the first two components says over a mesh."""
+    rows, _ = tables.text_points(spark, folder)
+    return sweep.tree_grid(rows, N, {"n_estimators": 5, "max_depth": 5}, 100)
 
 
 @query("pca_project")

@@ -16,6 +16,8 @@ from phrasemill.sources.results import evaluation_line, result_line
 from phrasemill.sources.texts import tokenised
 
 CATEGORIES = ["de", "en", "es", "fr"]
+DIM = 64
+SOME_NEIGHBOURS = {"n_neighbors": [1, 5, 12, 25], "p": [2], "weights": ["uniform", "distance"]}
 RUNS = ["click", "error", "purchase", "signup", "view"]
 
 

@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete what is stored at ``path``, in whatever store it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

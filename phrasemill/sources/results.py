@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phrasemill.functions.params import params_map
 
+# How the files of each kind are named.
+RESULTS, EVALUATION, TRAIN_EVALUATION = "grid_search_results", "evaluation", "train_set_evaluation"
 SWEEP = "dims int, acc double, rel_train double, rel_test double"
 
 
@@ -44,23 +46,26 @@ def parse_evaluations(lines: DataFrame, line: str = "value") -> DataFrame:
                         f[1].alias("word_emb_params"), f[2].alias("sent_emb"), f[3].cast("double").alias("score"))
 
 
-def _from_file_name(kind: str) -> Column:
-    """Classifier of a file named ``<data set>_<classifier>_<kind>.txt``."""
-    name = F.substring_index(F.col("_metadata.file_name"), f"_{kind}", 1)
-    return F.regexp_extract(name, "([^_]+)$", 1).alias("classifier")
-
-
 def _numbered(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.text(path).select(
-        _from_file_name(kind), F.monotonically_increasing_id().alias("line_no"), "value")
+    """Lines of the files of one kind in a folder, or of one such file, with the classifier of each.
+
+    Files are named ``<data set>_<classifier>_<kind>.txt``; a folder of that name, as Spark writes it, counts as one
+    file. Files of other kinds beside them are not read: the names are compared before anything is.
+    """
+    place = F.col("_metadata.file_path")
+    name = rf"([^_/]+)_{kind}\.txt(?:/[^/]+)?$"
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(place.rlike(name))
+    if kind == EVALUATION:  # the other kind ends alike
+        lines = lines.where(~place.rlike(rf"_{TRAIN_EVALUATION}\.txt(?:/[^/]+)?$"))
+    return lines.select(F.regexp_extract(place, name, 1).alias("classifier"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_results(_numbered(spark, path, "grid_search_results"))
+    return parse_results(_numbered(spark, path, RESULTS))
 
 
 def read_evaluations(spark: SparkSession, path: str, split: str) -> DataFrame:
-    kind = "evaluation" if split == "test" else "train_set_evaluation"
+    kind = EVALUATION if split == "test" else TRAIN_EVALUATION
     return parse_evaluations(_numbered(spark, path, kind)).withColumn("split", F.lit(split))
 
 
@@ -75,6 +80,11 @@ def write_evaluations(evaluations: DataFrame, path: str) -> None:
      .partitionBy("classifier", "split").parquet(path))
 
 
+def write_lines(lines: DataFrame, path: str, data_set: str, classifier: str, kind: str) -> None:
+    """Write lines (``value``) of one classifier where the readers of a folder find them."""
+    lines.select("value").write.mode("overwrite").text(f"{path}/{data_set}_{classifier}_{kind}.txt")
+
+
 def write_sweep(sweep: DataFrame, path: str) -> None:
     sweep.select("dims", "acc", "rel_train", "rel_test").write.option("sep", ";").csv(path)
 
