@@ -181,3 +181,25 @@ def read_chats(pieces: DataFrame) -> DataFrame:
 
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                                  "formatted_chars long")
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '{ESCAPE}', '{ESCAPE * 2}')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0] + ESCAPE + c[1:]}')"
+    return out
+
+
+#: What is read back of all conversations and one more, two turns with ``trap`` as their text, in SQL.
+SQL = """
+WITH given AS (SELECT conv_id, turn, role, text FROM conversations
+               UNION ALL SELECT {conv}, unnest([0, 1]), unnest(['user', 'assistant']), '{trap}'),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given)
+SELECT conv_id, count(*) AS n_turns,
+sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+CAST(sum(length(CASE WHEN role = 'assistant' THEN '<s></s>' ELSE '[INST][/INST]' END) + 1
+    + length(replace(%s, chr(10), '%s' || chr(10))) + length(%s)) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+""" % (_escaped_sql("role"), ESCAPE, _escaped_sql("text"))

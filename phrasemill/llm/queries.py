@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import lexical, quality, toxicity
+from phrasemill.llm import chat, lexical, quality, toxicity, warc
 from phrasemill.llm.alignment import align
 from phrasemill.llm.chat import format_chats, read_chats
 from phrasemill.llm.common import table
@@ -122,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash, op10_line_blocks, op11_entropy_mix, op12_lexical_search, op13_alignment)}
 
 #: The others need tokenizers, archives, models, trees or markup; tests hold them to brute force.
-ORACLE: dict[str, str] = {"op12_lexical_search": lexical.SQL}
+ORACLE: dict[str, str] = {"op4_warc": warc.SQL, "op6_chat": chat.SQL.format(conv=TRAP[0][0], trap=TRAP[0][3]), "op12_lexical_search": lexical.SQL}

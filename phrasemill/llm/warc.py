@@ -288,3 +288,16 @@ def page_rows(records: DataFrame) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     return records.select(number("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
                           F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "sound")
+
+
+_FIVE_BITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(digest, {5 * k + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+                         for k in range(8) for shift in (15, 10, 5, 0))
+#: What ``page_rows`` says of the archived ``pages``, in SQL.
+SQL = f"""
+WITH held AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, html, min(page_id) AS first FROM held GROUP BY digest, html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_FIVE_BITS} AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first THEN first END AS refers_to, true AS sound
+FROM held JOIN firsts USING (digest, html)
+"""
