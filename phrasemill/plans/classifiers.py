@@ -12,11 +12,12 @@ from itertools import product
 from typing import Any
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 
 from phrasemill.operators.forest import Forest, Growth, subset
 from phrasemill.operators.kernel import FourierFeatures, MarginProbabilities
 from phrasemill.operators.knn import KNNClassifier
+from phrasemill.operators.perceptron import Perceptron, Training
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,11 @@ def random_forest(shape: Shape, n_estimators: int = 100, criterion: str = "gini"
         criterion, subset(max_features, shape.dim), max_depth, min_samples_split, min_samples_leaf, seed))
 
 
-def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), activation: str = "logistic",
-               max_iter: int = 1000, tol: float = 1e-4, seed: int = 17) -> Estimator:
-    """Spark's perceptron has logistic hidden layers only."""
-    if activation != "logistic":
-        raise ValueError(f"activation {activation} is not available")
-    return MultilayerPerceptronClassifier(
-        layers=[shape.dim, *hidden_layer_sizes, shape.classes], maxIter=max_iter, tol=tol, blockSize=128, seed=seed)
+def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), activation: str = "logistic", alpha: float = 1e-4,
+               learning_rate: str = "constant", solver: str = "adam", max_iter: int = 1000, tol: float = 1e-4, seed: int = 17) -> Estimator:
+    """The learning rate changes plain steps (``sgd``) only, so that settings which differ in it may mean the same."""
+    return Perceptron(shape.dim, shape.classes, Training(
+        tuple(hidden_layer_sizes), activation, alpha, solver, learning_rate, max_iter=max_iter, tol=tol, seed=seed))
 
 
 def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int = 256, max_iter: int = 1000,
@@ -61,6 +60,8 @@ def kernel_svm(shape: Shape, C: float = 1.0, gamma: float = 0.1, features: int =
 
 def unsettled(model: Model) -> list[str]:
     """Parts of a model fitted in this session that stopped at their limit of iterations."""
+    if getattr(model, "settled", True) is False:
+        return [type(model).__name__]
     found = [x for stage in getattr(model, "stages", []) for x in unsettled(stage)]
     for stage in [] if hasattr(model, "stages") else [model]:
         for i, machine in enumerate(getattr(stage, "models", [stage])):
@@ -84,7 +85,9 @@ CLASSIFIERS: dict[str, Kind] = {
     "RandomForestAlgorithm": Kind(random_forest, {
         "max_depth": [None, 1, 5, 10, 20, 50], "criterion": ["gini", "entropy"],
         "max_features": ["auto", "sqrt", "log2"], "n_estimators": [1000]}),
-    "MLPAlgorithm": Kind(perceptron, {"activation": ["logistic"], "hidden_layer_sizes": [(100, 50)]}),
+    "MLPAlgorithm": Kind(perceptron, {
+        "alpha": [1e-4, 1e-3], "learning_rate": ["constant", "adaptive"], "activation": ["logistic", "relu"],
+        "hidden_layer_sizes": [(100, 50)]}),
     "NearestNeighborsAlgorithm": Kind(nearest_neighbours, {
         "n_neighbors": [1, 2, 3, 4, 7, 10, 12, 14, 16, 18, 20, 25, 30, 50, 75, 100, 150, 200],
         "p": [1, 2, 3, 4, 5], "weights": ["uniform", "distance"]}),
@@ -95,6 +98,8 @@ def same_model(name: str, settings: dict[str, Any]) -> dict[str, Any]:
     """The settings with one of several names for the same thing; equal ones need one fit only."""
     if name == "RandomForestAlgorithm" and settings.get("max_features") == "auto":
         return settings | {"max_features": "sqrt"}
+    if name == "MLPAlgorithm" and settings.get("solver", "adam") == "adam":
+        return {k: v for k, v in settings.items() if k != "learning_rate"}
     return settings
 
 

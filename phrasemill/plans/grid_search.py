@@ -19,6 +19,7 @@ from phrasemill.operators.evaluate import accuracy, correct
 from phrasemill.operators.folds import nested_folds, stratified_folds
 from phrasemill.operators.forest import forest_votes, grow_forest
 from phrasemill.operators.knn import KNNClassifier, TrainSet, grid_votes
+from phrasemill.operators.perceptron import fold_hits, is_small
 from phrasemill.operators.reduce import project
 from phrasemill.plans.classifiers import CLASSIFIERS, combinations, same_model
 from phrasemill.plans.score import shape_of
@@ -133,6 +134,17 @@ def forest_scores(train: DataFrame, settings: list[dict[str, Any]], folds: int,
     return scores
 
 
+def network_scores(train: DataFrame, settings: list[dict[str, Any]], folds: int, fold: str = "cv_fold") -> list[float]:
+    """Cross-validation scores of perceptrons, all settings and folds side by side; for tables of checked size."""
+    shape, name = shape_of(train), "MLPAlgorithm"
+    distinct = {params_text(same_model(name, s)): same_model(name, s) for s in settings}
+    how = [CLASSIFIERS[name].build(shape, **s).how for s in distinct.values()]
+    hits = fold_hits(train, shape.classes, how, fold, folds).groupBy("setting").agg(
+        F.round(100.0 * F.sum("hits") / F.sum("n"), 2).alias("cv")).collect()  # one row for each setting
+    found = dict(zip(distinct, (r["cv"] for r in sorted(hits, key=lambda r: r["setting"])), strict=True))
+    return [found[params_text(same_model(name, s))] for s in settings]
+
+
 def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None, folds: int = 5,
                 parallelism: int = 4, dims: int | None = None, embedding: tuple[str, str, str] = ("TableEmbedding", "vectors,0", "SumEmbedding"),
                 ) -> tuple[DataFrame, DataFrame]:
@@ -152,6 +164,8 @@ def grid_search(rows: DataFrame, name: str, grid: dict[str, list] | None = None,
 
     if name == "RandomForestAlgorithm" and not dims:
         scores = forest_scores(train, settings, folds)
+    elif name == "MLPAlgorithm" and not dims and is_small(train, shape_of(train).dim):
+        scores = network_scores(train, settings, folds)
     else:  # settings that give the same model are fitted once
         distinct = {params_text(same_model(name, s)): same_model(name, s) for s in settings}
         with ThreadPool(parallelism) as pool:

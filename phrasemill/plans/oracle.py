@@ -332,9 +332,10 @@ for _name in ("rf_predict", "mlp_predict", "svm_predict"):
     ORACLE[_name] = _with(*TEXTS, _ntile(5, "cut", "lists")) + """
 SELECT row_id, label, true AS consistent, true AS in_band, true AS settled FROM cut WHERE fold = 0"""
 
-ORACLE["grid_search_rf"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"('RandomForestAlgorithm', {i}, 'TableEmbedding', 'vectors,0', 'SumEmbedding', '{params_text(one).replace(chr(39), chr(39) * 2)}', true)"
-    for i, one in enumerate(combinations(CLASSIFIERS["RandomForestAlgorithm"].grid))) + """
+for _key, _kind in (("grid_search_rf", "RandomForestAlgorithm"), ("grid_search_mlp", "MLPAlgorithm")):
+    ORACLE[_key] = "SELECT * FROM (VALUES " + ", ".join(
+        f"('{_kind}', {i}, 'TableEmbedding', 'vectors,0', 'SumEmbedding', '{params_text(one).replace(chr(39), chr(39) * 2)}', true)"
+        for i, one in enumerate(combinations(CLASSIFIERS[_kind].grid))) + """
 ) t(classifier, line_no, word_emb, word_emb_params, sent_emb, params, in_band)"""
 
 

@@ -581,6 +581,13 @@ def grid_search_rf(spark, folder):
                         (F.col("cv") >= F.when(stump, 100 * STUMPS).otherwise(100 * BAND)).alias("in_band"))
 
 
+@query("grid_search_mlp")
+def grid_search_mlp(spark, folder):
+    rows, _ = tables.text_points(spark, folder)
+    found, _ = grid_search.grid_search(rows, "MLPAlgorithm")
+    return found.select("classifier", "line_no", "word_emb", "word_emb_params", "sent_emb", "params", (F.col("cv") >= 100 * BAND).alias("in_band"))
+
+
 @query("grid_search_all")
 def grid_search_all(spark, folder):
     """Two tables of word vectors, the second one with the first half of the dimensions, times two kinds of text vectors."""

@@ -1,24 +1,18 @@
-"""The registered forest search covers the whole recorded grid; the fits themselves are too long for a test."""
+"""The forest search covers the whole recorded grid, and grows each forest once for all its depths."""
 
 from phrasemill.plans import grid_search, queries
-from phrasemill.plans.classifiers import CLASSIFIERS, combinations, same_model
+from phrasemill.plans.classifiers import CLASSIFIERS, combinations
 
 
 def test_whole_grid(spark, monkeypatch):
-    fitted = []
+    grown, whole = [], grid_search.grow_forest
 
-    def fake(rows, name, settings, folds, fold="fold", dims=None):
-        fitted.append((settings, folds))
-        return rows.limit(50).selectExpr("row_id", "label", f"{fold} as fold", "label as prediction")
+    def few(rows, classes, trees, growth, apart=None, parts=1):
+        grown.append((trees, growth.criterion, growth.features, growth.max_depth, parts))
+        return whole(rows, classes, 20, growth, apart, parts)
 
-    monkeypatch.setattr(grid_search, "cross_validate", fake)
-    forest = CLASSIFIERS["RandomForestAlgorithm"]
-    # The fit of the best setting is not searched.
-    small = type(forest)(lambda shape, **s: forest.build(shape, **{**s, "n_estimators": 2, "max_depth": 2}), forest.grid)
-    monkeypatch.setitem(CLASSIFIERS, "RandomForestAlgorithm", small)
-    found = queries.QUERIES["grid_search_rf"](spark, "/root/testdata/sf0.001")
-    grid = combinations(forest.grid)
-    distinct = {tuple(sorted(same_model("RandomForestAlgorithm", s).items())) for s in grid}
-    assert found.count() == len(grid) == 36 and len(fitted) == len(distinct) == 20
-    assert {tuple(sorted(s.items())) for s, _ in fitted} == distinct
-    assert all(folds == 5 and s["n_estimators"] == 1000 for s, folds in fitted)
+    monkeypatch.setattr(grid_search, "grow_forest", few)
+    found = queries.QUERIES["grid_search_rf"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.line_no for r in found] == list(range(36)) == list(range(len(combinations(CLASSIFIERS["RandomForestAlgorithm"].grid))))
+    # Two criteria, two numbers of features of 64; unlimited depth, which holds all others; five folds.
+    assert sorted(grown) == sorted((1000, c, f, None, 5) for c in ("gini", "entropy") for f in (8, 6))

@@ -86,9 +86,11 @@ def test_best_of_a_result_table(spark, clusters, name, settings):
 
 def test_settings_that_are_one_model():
     forests = [same_model("RandomForestAlgorithm", s) for s in combinations(CLASSIFIERS["RandomForestAlgorithm"].grid)]
-    assert len(forests) == 36 and len({params_text(s) for s in forests}) == 20
+    assert len(forests) == 36 and len({params_text(s) for s in forests}) == 24
+    networks = [same_model("MLPAlgorithm", s) for s in combinations(CLASSIFIERS["MLPAlgorithm"].grid)]
+    assert len(networks) == 8 and len({params_text(s) for s in networks}) == 4
     with pytest.raises(ValueError):
-        perceptron(Shape(5, 3, 150), activation="relu")
+        perceptron(Shape(5, 3, 150), activation="tanh")
 
 
 def test_limit_is_reported(spark, clusters):
@@ -149,7 +151,6 @@ def test_projection_and_grid(spark, clusters):
     assert flat.columns == ["row_id", "x0", "x1", "x2"] and flat.count() == 150
     grid = sweep.decision_grid(clusters, KNNClassifier(3), size=20)
     assert grid.count() == 400 and {r.prediction for r in grid.select("prediction").distinct().collect()} == {0, 1, 2}
-    points = gs.as_features(clusters)
-    forest = CLASSIFIERS["RandomForestAlgorithm"].build(Shape(5, 3, 150), n_estimators=4).fit(points)
-    votes = sweep.tree_predictions(forest, points.select("row_id", "features"))
-    assert votes.count() == 600 and {r.tree for r in votes.select("tree").distinct().collect()} == {0, 1, 2, 3}
+    trees = sweep.tree_grid(clusters, 3, {"n_estimators": 4, "max_depth": 3}, size=20)
+    assert trees.count() == 1600 and {r.tree for r in trees.select("tree").distinct().collect()} == {0, 1, 2, 3}
+    assert trees.columns == ["x", "y", "tree", "prediction"] and {r.prediction for r in trees.select("prediction").distinct().collect()} == {0, 1, 2}

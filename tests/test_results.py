@@ -119,7 +119,7 @@ def test_parameters(spark):
     assert one.select(linear_range(1, 2, 5)).first()[0] == [1.0, 1.25, 1.5, 1.75, 2.0]
     assert params_text({"b": (1, 2), "a": None}) == "{'a': None, 'b': (1, 2)}"
     assert {k: len(combinations(v.grid)) for k, v in CLASSIFIERS.items()} == {
-        "SvmAlgorithm": 45, "RandomForestAlgorithm": 36, "MLPAlgorithm": 1, "NearestNeighborsAlgorithm": 180}
+        "SvmAlgorithm": 45, "RandomForestAlgorithm": 36, "MLPAlgorithm": 8, "NearestNeighborsAlgorithm": 180}
     first = combinations({"b": [1, 2], "a": ["x", "y"]})
     assert first == [{"a": "x", "b": 1}, {"a": "x", "b": 2}, {"a": "y", "b": 1}, {"a": "y", "b": 2}]
 
