@@ -277,6 +277,9 @@ FOLDS = POINTS + [_ntile(5, "cut", "points")]
 ORACLE["cross_validate_knn"] = _with(
     *FOLDS, _near("cut", "cut", 12, 2, ", q.label, q.fold", "q.fold <> t.fold"),
     *_votes("uniform", "label, fold", POINT_CLASSES)) + f"SELECT fold, {SCORE} FROM predicted GROUP BY fold"
+ORACLE["sweep_without_pca"] = ORACLE["cross_validate_knn"].replace(f"SELECT fold, {SCORE} FROM predicted GROUP BY fold", """
+SELECT fold, is_pca, CAST(sum(CAST(label = prediction AS INTEGER)) AS BIGINT) AS hits, count(*) AS n
+FROM predicted CROSS JOIN (SELECT unnest([true, false]) AS is_pca) GROUP BY fold, is_pca""")
 
 
 def _grid(ks: list[int], ps: list[int], source: str, fold: str) -> list[str]:

@@ -634,10 +634,27 @@ def project_words_3d(spark, folder):
 @query("pca_sweep")
 def pca_sweep(spark, folder):
     path = new_path(spark, "sweep")
-    results.write_sweep(sweep.pca_sweep(tables.points(spark, folder), KNNClassifier(**BEST)), path)
+    results.write_sweep(sweep.pca_sweep(tables.points(spark, folder), "NearestNeighborsAlgorithm", BEST), path)
     return results.read_sweep(spark, path)
 
 
+@query("pca_sweep_models")
+def pca_sweep_models(spark, folder):
+    """Accuracy of three kinds of classifiers over texts against the number of components."""
+    rows, _ = tables.text_points(spark, folder)
+    found = [sweep.pca_sweep(rows, name, settings, count=8).select(F.lit(name).alias("classifier"), "dims", "is_pca", "acc", "rel_train", "rel_test")
+             for name, settings in (("NearestNeighborsAlgorithm", BEST), ("RandomForestAlgorithm", {"n_estimators": 100}), ("MLPAlgorithm", {"activation": "relu"}))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("sweep_without_pca")
+def sweep_without_pca(spark, folder):
+    """Right answers of the neighbour search in each fold, on the vectors as they are and on all their components, which is a rotation."""
+    cut = written(stratified_folds(tables.points(spark, folder), 5), "folds")
+    dim = cut.select(F.size("vec")).first()[0]
+    return sweep.fold_sweep(cut, "NearestNeighborsAlgorithm", {"n_neighbors": 12, "p": 2}, [None, dim], "fold", 5, 10).select(
+        F.col("fold").cast("int").alias("fold"), "is_pca", "hits", "n")
+
 @query("decision_grid")
 def decision_grid(spark, folder):
     rows, _ = tables.text_points(spark, folder)

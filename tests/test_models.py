@@ -139,7 +139,7 @@ def test_components_inside_the_fold(spark, clusters):
 def test_sweep(spark, clusters):
     assert sweep.sweep_dims(1527, 200, 5)[:5] == [1, 2, 3, 5, 12] and sweep.sweep_dims(1527, 200, 5)[-1] == 200
     assert len(sweep.sweep_dims(1527, 200, 5)) == 30
-    rows = sweep.pca_sweep(clusters, KNNClassifier(5), folds=3, count=4).collect()
+    rows = sweep.pca_sweep(clusters, "NearestNeighborsAlgorithm", {}, folds=3, count=4).collect()
     assert [(r.dims, r.is_pca) for r in rows] == [(1, True), (2, True), (3, True), (5, True), (5, False)]
     # All components together are a rotation, which keeps every distance.
     assert rows[3].acc == pytest.approx(rows[4].acc, abs=0.02) and rows[2].acc > 0.9

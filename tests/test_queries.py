@@ -10,7 +10,7 @@ from phrasemill.plans import oracle, queries as plain
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLE = plain.QUERIES, oracle.ORACLE
-WITHOUT_SQL = {"pca_project", "project_texts_3d", "project_words_3d", "pca_sweep", "decision_grid", "decision_trees"}
+WITHOUT_SQL = {"pca_project", "project_texts_3d", "project_words_3d", "pca_sweep", "pca_sweep_models", "decision_grid", "decision_trees"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
