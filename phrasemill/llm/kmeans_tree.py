@@ -1,11 +1,13 @@
 """Approximate nearest neighbours over a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample; every row goes to the leaf that a walk
-down the nearest centres ends in. Leaves that lie side by side in the tree are
-read together as one bin, crowded leaves are cut into blocks. A query walks the tree best bin first: a priority queue of nodes by the distance
-of their centres gives leaves in order, until it has seen as many as the
-calibration asks for. Calibration searches a stated number of queries
-exactly over all rows and takes the fewest leaf visits that reach the recall.
+down the nearest centres ends in. A query walks the tree best bin first: a
+priority queue of nodes by the distance of their centres gives leaves in order,
+until it has seen as many as the calibration asks for, and it is held against
+the rows of those leaves only. Leaves that lie side by side in the tree travel
+together as one bin, crowded ones are cut into blocks. Calibration searches a
+stated number of rows, which the tree was not fitted on, exactly over all rows
+and takes the fewest leaf visits that reach the recall.
 """
 
 from __future__ import annotations
@@ -198,7 +200,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
     size, total = (common["size"], common["count"]) if common else (1, 0)
     good = good.filter(F.size("vec") == size)
     asked = usable(queries, key, vector).filter(F.size("vec") == size).groupBy("id").agg(F.min("vec").alias("vec"))
-    sample = good.orderBy(F.xxhash64("id", "vec")).limit(fit_rows).collect()
+    drawn = good.orderBy(F.xxhash64("id", "vec")).limit(fit_rows + CALIBRATION).collect()
+    probes = drawn[:CALIBRATION]
+    sample = drawn[CALIBRATION:] if len(drawn) > 2 * CALIBRATION else drawn  # few rows: the probes as well
     tree = Tree.fit(np.array([r["vec"] for r in sample], dtype=np.float64).reshape(-1, size), total)
     held = spark.sparkContext.broadcast(tree)  # grows with the sample only
 
@@ -208,7 +212,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["id", "vec", "leaf"])
 
     index = written(good.mapInArrow(place, "id long, vec array<double>, leaf long"), "tree-index")
-    visits = _calibrate(index, sample[:CALIBRATION], tree, size, k, recall)
+    visits = _calibrate(index, probes, tree, size, k, recall)
     sizes = written(index.groupBy("leaf").agg(F.count("*").alias("rows")), "leaves")  # one row for each leaf
     counts = {r["leaf"]: r["rows"] for r in sizes.collect()}
     bins = tree.bins(counts, BLOCK)
@@ -218,23 +222,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, found, vec = [], [], _matrix(batch.column("vec"), size)
+            who, found, leaves, vec = [], [], [], _matrix(batch.column("vec"), size)
             for i, mine in enumerate(batch.column("own").to_pylist()):
-                seen, mine_bins = 0, set()
+                seen, mine_bins = 0, {}
                 for n, leaf in enumerate(held.value.walk(vec[i])):
                     if n >= visits and seen >= k + mine:
                         break
                     if leaf in counts:
                         seen += counts[leaf]
-                        mine_bins.add(bins[leaf])
+                        mine_bins.setdefault(bins[leaf], []).append(leaf)
                 who += [i] * len(mine_bins)
-                found += sorted(mine_bins)
+                found += mine_bins
+                leaves += mine_bins.values()
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("vec").take(take),
-                                              pa.array(found, pa.int64())], ["query_id", "vec", "bin"])
+                                              pa.array(found, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "vec", "bin", "leaves"])
 
-    # A query visits a bin once, whichever of its leaves it came for, and brings home the k best of the whole bin.
-    visited = written(asked.mapInArrow(walk, "query_id long, vec array<double>, bin long"), "visits")
+    # A query travels to a bin once and brings home the k best of the leaves that it visits there.
+    visited = written(asked.mapInArrow(walk, "query_id long, vec array<double>, bin long, leaves array<long>"), "visits")
     asking = visited.groupBy("bin").agg(F.count("*").alias("queries"))
     where = spark.createDataFrame(list(bins.items()), "leaf long, bin long")  # one row for each leaf
     filled = sizes.join(where, "leaf").groupBy("bin").agg(F.sum("rows").alias("rows"))
@@ -252,12 +257,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
         names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if empty:
             return pa.table([pa.array([], t) for t in types], names)
-        ids, asked = rows.column("id").to_numpy(), queries.column("query_id").to_numpy()
-        who, where, far = nearest(_matrix(queries.column("vec"), size), asked, _matrix(rows.column("vec"), size), ids, k)
-        return pa.table([pa.array(asked[who]), pa.array(ids[where]), pa.array(far)], names)
+        ids, asked, leaf = rows.column("id").to_numpy(), queries.column("query_id").to_numpy(), rows.column("leaf").to_numpy()
+        vectors, points = _matrix(rows.column("vec"), size), _matrix(queries.column("vec"), size)
+        leaves = queries.column("leaves").combine_chunks()
+        visitor, visit = np.repeat(np.arange(len(asked)), np.diff(np.asarray(leaves.offsets))), np.asarray(leaves.flatten())
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for one in np.unique(leaf):
+            mine, come = np.flatnonzero(leaf == one), visitor[visit == one]
+            who, where, far = nearest(points[come], asked[come], vectors[mine], ids[mine], k)
+            best = [np.concatenate(x) for x in zip(best, (asked[come][who], ids[mine][where], far), strict=True)]
+        order = np.lexsort((best[1], best[2], best[0]))
+        best = [x[order] for x in best]
+        keep = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
+        return pa.table([pa.array(x[keep]) for x in best], names)
 
     parts = parts_for(spark)
-    found = (left.select(*group, "id", "vec").repartition(parts, *group).groupBy(*group)
-             .cogroup(right.select(*group, "query_id", "vec").repartition(parts, *group).groupBy(*group))
+    found = (left.select(*group, "id", "vec", "leaf").repartition(parts, *group).groupBy(*group)
+             .cogroup(right.select(*group, "query_id", "vec", "leaves").repartition(parts, *group).groupBy(*group))
              .applyInArrow(match, "query_id long, vec_id long, score double"))
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from phrasemill.llm import kmeans_tree
 from phrasemill.llm.kmeans_tree import Tree, search
 from phrasemill.llm.queries import op7_kmeans_tree
 
@@ -34,6 +35,30 @@ def test_recall(spark):
         assert all(abs(s - np.sqrt(((by_id[i] - by_id[q]) ** 2).sum())) < 1e-12 for _, i, s in hits)
 
 
+def test_clusters(spark, monkeypatch):
+    """Vectors with structure: recall by a small part of the rows, through the leaves that queries visit."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 10, (120, 12))
+    rows = [(i, (centres[rng.integers(120)] + rng.normal(0, 1, 12)).tolist()) for i in range(12_000)]
+    seen, whole = {}, kmeans_tree._calibrate
+    monkeypatch.setattr(kmeans_tree, "_calibrate", lambda *a: seen.setdefault("visits", (whole(*a), a[2]))[0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    asked = [r for r in rows if r[0] % 100 == 0]
+    want, got = exact(rows, asked), {}
+    for r in search(df, df.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    visits, tree = seen["visits"]
+    leaves = tree.leaves_of(np.array([v for _, v in rows]))
+    compared = 0
+    for q, v in asked:
+        mine = [leaf for leaf, _ in zip(tree.walk(np.array(v)), range(visits))]
+        inside = np.isin(leaves, mine)
+        compared += int(inside.sum())
+        assert got[q] <= {rows[i][0] for i in np.flatnonzero(inside)}  # nothing but what the visited leaves hold
+    assert compared < 0.3 * len(asked) * len(rows)
+
+
 def test_ties_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [1.0, 2.0]) for i in range(1, 40)] + [(i, rng.normal(size=2).tolist()) for i in range(100, 130)]
