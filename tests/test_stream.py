@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from phrasemill.operators.knn import KNNClassifier
 from phrasemill.plans.score import score_texts, vectors_of
 from phrasemill.session import shared_dir
-from phrasemill.streaming.miner import confident_texts, mine, mine_to_table, mined, parse_messages, prefilter
+from phrasemill.streaming.miner import confident_texts, mine, mine_to_table, mined, parse_messages, prefilter, stop_when_idle
 
 MESSAGES = [
     {"id": 1, "lang": "en", "text": "ball goal ball goal ball"},
@@ -59,6 +60,34 @@ def test_stream_equals_batch(spark, vectors, model, tmp_path):
     assert run() == got
 
 
+def test_idle_and_restart(spark, vectors, model, tmp_path):
+    """A continuous query that stops when idle, one that is cut off at any moment, and a last run: nothing lost, nothing doubled."""
+    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    source.mkdir()
+    texts = [f"ball goal ball goal ball {i}x" for i in range(40)]
+
+    def put(k):
+        write(source / f"{k}.json", [{"id": i, "lang": "en", "text": texts[i]} for i in range(k * 10, k * 10 + 10)])
+
+    def start(available_now=False):
+        return mine(parse_messages(spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))), vectors, model, out, progress,
+                    available_now=available_now)
+
+    put(0)
+    query = start()
+    assert stop_when_idle(query, 4.0) and not query.isActive and not stop_when_idle(query, 0.1)
+    assert sorted(r.id for r in mined(spark, out).collect()) == list(range(10))
+    put(1)
+    put(2)
+    cut = start()
+    while not cut.status["isDataAvailable"] and not (cut.lastProgress and cut.lastProgress.numInputRows):
+        time.sleep(0.02)
+    cut.stop()  # in the midst of a batch, or between two
+    put(3)
+    start(available_now=True).awaitTermination()
+    assert sorted(r.id for r in mined(spark, out).collect()) == list(range(40))
+
+
 def test_last_class_on_request(spark, vectors, model):
     messages = spark.createDataFrame([(m["id"], m.get("lang"), m["text"]) for m in MESSAGES],
                                      "row_id long, lang string, text string")
