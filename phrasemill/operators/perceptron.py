@@ -43,7 +43,7 @@ class Training:
     learning_rate: str = "constant"
     rate: float = 0.001
     batch: int = 200
-    max_iter: int = 1000
+    max_iter: int = 10_000
     tol: float = 1e-4
     patience: int = 10
     seed: int = 17

@@ -39,7 +39,7 @@ def random_forest(shape: Shape, n_estimators: int = 100, criterion: str = "gini"
 
 
 def perceptron(shape: Shape, hidden_layer_sizes: tuple[int, ...] = (100, 50), activation: str = "logistic", alpha: float = 1e-4,
-               learning_rate: str = "constant", solver: str = "adam", max_iter: int = 1000, tol: float = 1e-4, seed: int = 17) -> Estimator:
+               learning_rate: str = "constant", solver: str = "adam", max_iter: int = 10_000, tol: float = 1e-4, seed: int = 17) -> Estimator:
     """The learning rate changes plain steps (``sgd``) only, so that settings which differ in it may mean the same."""
     return Perceptron(shape.dim, shape.classes, Training(
         tuple(hidden_layer_sizes), activation, alpha, solver, learning_rate, max_iter=max_iter, tol=tol, seed=seed))
