@@ -121,29 +121,33 @@ class Rows:
         self.values, self.first = np.concatenate(values), np.cumsum([0, *map(len, values)])[:-1]
 
 
-def best_splits(rows: Rows, sample: np.ndarray, node: np.ndarray, features: np.ndarray, totals: np.ndarray, growth: Growth) -> Level:
+def best_splits(rows: Rows, sample: np.ndarray, weight: np.ndarray, node: np.ndarray, features: np.ndarray, totals: np.ndarray,
+                growth: Growth) -> Level:
     """The best split of every node over its features; ``node`` numbers the nodes of ``sample`` from 0 in order."""
     n, m = features.shape
-    # Segment, rank and label side by side in one number, so that sorting numbers sorts the rows of all segments.
+    # Segment, rank, label and weight side by side in one number, so that sorting numbers sorts the rows of all segments.
+    bits = int(weight.max(initial=1)).bit_length()
     low = max(rows.classes - 1, 1).bit_length()
     middle = max(len(rows.x) - 1, 1).bit_length()
     segment = node.astype(np.int64)[:, None] * m + np.arange(m)
-    keys = (((segment << middle) + rows.rank[sample[:, None], features[node]]) << low) + rows.y[sample][:, None]
+    keys = (((segment << middle) + rows.rank[sample[:, None], features[node]]) << low + bits) + ((rows.y[sample] << bits) + weight)[:, None]
     keys = np.sort(keys, axis=None)
-    place, label = keys >> low, (keys & (1 << low) - 1).astype(np.int16)
+    place, label = keys >> low + bits, (keys >> bits & (1 << low) - 1).astype(np.int16)
+    often = (keys & (1 << bits) - 1).astype(np.float64)
     segment = (place >> middle).astype(np.int32)
     border = np.flatnonzero((place[1:] != place[:-1]) & (segment[1:] == segment[:-1]))
     first = np.searchsorted(segment, np.arange(n * m))
     begin, owner = first[segment[border]], segment[border] // m
-    n_left = (border + 1 - begin).astype(np.float64)
+    upto = np.zeros(len(keys) + 1, dtype=np.float64)
+    np.cumsum(often, out=upto[1:])
+    n_left = upto[border + 1] - upto[begin]
     n_right = totals.sum(axis=1).astype(np.float64)[owner] - n_left
     fine = (n_left >= growth.min_leaf) & (n_right >= growth.min_leaf)
     if not fine.all():
         border, owner, begin, n_left, n_right = (v[fine] for v in (border, owner, begin, n_left, n_right))
     left, right = [], []
     for k in range(rows.classes):
-        upto = np.zeros(len(keys) + 1, dtype=np.float64)
-        np.cumsum(label == k, out=upto[1:])
+        np.cumsum(often * (label == k), out=upto[1:])
         left.append(upto[border + 1] - upto[begin])
         right.append(totals[:, k].astype(np.float64)[owner] - left[-1])
     score = worth(left, right, n_left, n_right, growth.criterion)
@@ -165,12 +169,13 @@ def best_splits(rows: Rows, sample: np.ndarray, node: np.ndarray, features: np.n
 def grown(rows: Rows, samples: list[np.ndarray], keys: np.ndarray, growth: Growth, depth: int = 0) -> list[Nodes]:
     """A tree for each sample of rows; ``keys`` are those of the roots, which lie at ``depth``."""
     trees, dim = len(samples), rows.x.shape[1]
-    sample = np.concatenate(samples).astype(np.int64)
-    node = np.repeat(np.arange(trees), [len(s) for s in samples])
+    found = [np.unique(s, return_counts=True) for s in samples]  # rows that a sample has several times weigh more
+    sample, weight = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
+    node = np.repeat(np.arange(trees), [len(x[0]) for x in found])
     of, keys, count = np.arange(trees), keys.astype(np.uint64), trees  # of the level's nodes: the tree, the key, how many
     levels: list[tuple] = []
     while True:
-        totals = np.bincount(node * rows.classes + rows.y[sample], minlength=count * rows.classes).reshape(count, rows.classes)
+        totals = np.bincount(node * rows.classes + rows.y[sample], weight, count * rows.classes).astype(np.int64).reshape(count, rows.classes)
         size = totals.sum(axis=1)
         split = (size >= max(growth.min_split, 2 * growth.min_leaf)) & ((totals > 0).sum(axis=1) > 1)
         if growth.max_depth is not None and depth >= growth.max_depth:
@@ -178,9 +183,9 @@ def grown(rows: Rows, samples: list[np.ndarray], keys: np.ndarray, growth: Growt
         feature, threshold = np.full(count, -1, dtype=np.int32), np.zeros(count)
         border = np.zeros(count, dtype=np.int64)
         inside = split[node]
-        sample, node = sample[inside], node[inside]
+        sample, weight, node = sample[inside], weight[inside], node[inside]
         order = np.argsort(node, kind="stable")
-        sample, node = sample[order], node[order]
+        sample, weight, node = sample[order], weight[order], node[order]
         open_nodes = np.flatnonzero(split)
         bounds = np.searchsorted(node, np.append(open_nodes, count))
         for most in (min(growth.features, dim), dim):  # if no drawn feature varies, all are looked at
@@ -194,7 +199,7 @@ def grown(rows: Rows, samples: list[np.ndarray], keys: np.ndarray, growth: Growt
                 ids = open_nodes[part]
                 pick = np.concatenate([np.arange(bounds[p], bounds[p + 1]) for p in part.tolist()])
                 local = np.repeat(np.arange(len(part)), bounds[part + 1] - bounds[part])
-                got = best_splits(rows, sample[pick], local, drawn(keys[ids], dim, most), totals[ids], growth)
+                got = best_splits(rows, sample[pick], weight[pick], local, drawn(keys[ids], dim, most), totals[ids], growth)
                 hit = ids[got.found]
                 feature[hit] = got.feature[got.found]
                 border[hit] = got.rank[got.found]
@@ -210,7 +215,7 @@ def grown(rows: Rows, samples: list[np.ndarray], keys: np.ndarray, growth: Growt
         if not len(parents):
             break
         stay = feature[node] >= 0
-        sample, node = sample[stay], node[stay]
+        sample, weight, node = sample[stay], weight[stay], node[stay]
         node = child[node] + (rows.rank[sample, feature[node]] > border[node])
         with np.errstate(over="ignore"):
             keys = mixed(np.repeat(keys[parents], 2) * np.uint64(2) + np.tile(np.array([1, 2], dtype=np.uint64), len(parents)))

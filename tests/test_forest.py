@@ -34,7 +34,7 @@ def test_best_splits(criterion, leaf):
     rows, node = Rows(x, y, 3), np.repeat([0, 1, 2], [100, 150, 50])
     sample, features = np.arange(300), np.array([[0, 1, 2], [3, 4, 5], [5, 0, 3]])
     totals = np.stack([np.bincount(y[node == k], minlength=3) for k in range(3)])
-    got = best_splits(rows, sample, node, features, totals, Growth(criterion, min_leaf=leaf))
+    got = best_splits(rows, sample, np.ones(300, dtype=np.int64), node, features, totals, Growth(criterion, min_leaf=leaf))
     for k in range(3):
         mine, labels = x[node == k], y[node == k]
         best = min((sum(len(s) * impurity(s, 3, criterion) for s in (labels[mine[:, f] <= v], labels[mine[:, f] > v])), f, v)
@@ -44,6 +44,18 @@ def test_best_splits(criterion, leaf):
         assert got.found[k] and cost == pytest.approx(best[0])
 
 
+def test_weights():
+    """Rows that weigh more count as often."""
+    x, y = made()
+    rows, weight = Rows(x, y, 3), np.random.default_rng(2).integers(1, 5, 300)
+    for features in (np.array([[0, 1, 2]]), np.array([[3, 4, 5]])):
+        many = np.repeat(np.arange(300), weight)
+        totals = np.bincount(y[many], minlength=3)[None, :]
+        one = best_splits(rows, np.arange(300), weight, np.zeros(300, dtype=np.int64), features, totals, Growth(min_leaf=40))
+        all_rows = best_splits(rows, many, np.ones(len(many), dtype=np.int64), np.zeros(len(many), dtype=np.int64), features, totals, Growth(min_leaf=40))
+        assert (one.feature[0], one.rank[0], one.above[0]) == (all_rows.feature[0], all_rows.rank[0], all_rows.above[0])
+
+
 def depth_of(nodes, at=0):
     return 0 if nodes.feature[at] < 0 else 1 + max(depth_of(nodes, nodes.left[at]), depth_of(nodes, nodes.left[at] + 1))
 
