@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phrasemill.operators import knn
 from phrasemill.operators.knn import KNNClassifier, grid_votes, neighbours
 
 
@@ -89,3 +90,39 @@ def test_grid_votes_agree_with_single_models(spark):
         for w in ws:
             for r in KNNClassifier(k, w, 1).fit(df).scored(df, "fold").collect():
                 assert grid[(r.row_id, k, w)] == r.prediction
+
+
+@pytest.mark.parametrize("p", [1, 2, 3, 2.5])
+def test_nearest_in_strips(p, monkeypatch):
+    """Rough values in strips lose no row: numbers far from zero, ties and copies, one strip after the other."""
+    monkeypatch.setattr(knn, "STRIP", 1)
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(size=(900, 4)) + 50, np.repeat(rng.normal(size=(1, 4)), 60, axis=0), rng.integers(0, 3, (400, 4)) * 1e-6])
+    aparts = np.arange(len(rows)) % 3
+    points = rows[::37]
+    for of in (None, aparts[::37]):
+        got = knn.nearest(np.ascontiguousarray(rows.T), points, 20, p, aparts, of)
+        for i, (near, gaps) in enumerate(got):
+            far = np.round((np.abs(rows - points[i]) ** p).sum(axis=1) ** (1 / p), 9)
+            may = np.arange(len(rows)) if of is None else np.flatnonzero(aparts != of[i])
+            assert np.allclose(gaps, np.sort(far[may])[:20], atol=2e-9) and len(set(near.tolist())) == 20
+            assert np.isin(near, may).all()
+
+
+def test_a_query_meets_a_block_once():
+    """Where nothing can be left out, a row is copied once for each full block and not once for each cell."""
+    rng = np.random.default_rng(2)
+    blocks = knn._packed(rng.normal(size=(256, 8)), np.full(256, 100), 2000)
+    sizes = np.bincount(blocks) * 100
+    assert sizes.max() <= 2000 and len(sizes) == 13
+
+
+def test_grid_votes_stay_where_lists_are(spark):
+    """Without repeated rows nothing is shuffled; repeated ones vote together."""
+    rows = spark.createDataFrame(fixture(60, 2, 4), SCHEMA)
+    found = neighbours(rows, rows, 6, 2)
+    once, together = (grid_votes(found, ["row_id"], [1, 6], ["uniform", "distance"], flag) for flag in (True, False))
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == found._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert sorted(once.collect()) == sorted(together.collect())
+    twice = grid_votes(found.unionByName(found), ["row_id"], [1, 6], ["uniform", "distance"])
+    assert sorted(twice.collect()) == sorted(once.collect())
