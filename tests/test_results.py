@@ -155,3 +155,11 @@ def test_selection(spark):
     old = spark.createDataFrame([(9, 1, "t1"), (8, 0, "z")], "row_id long, label int, text string")
     both = expand_training_set(old, select_labelled(texts, answers, dim))
     assert sorted((x.row_id, x.text) for x in both.collect()) == [(0, "t0"), (5, "t5"), (8, "z"), (9, "t1")]
+
+
+def test_best_params_holds_leading_rows_only(spark):
+    """Scores and lines are found by sums of fixed size; whole rows, with maps, are not sorted."""
+    rows = [("a", i, {"k": str(i)}, float(i % 7)) for i in range(40)] + [(None, 1, None, 3.0), ("b", 2, {}, 0.0), ("c", None, {}, 5.0), ("a", 6, {"k": "6"}, 6.0)]
+    best = analysis.best_params(spark.createDataFrame(rows, "classifier string, line_no int, params map<string,string>, cv double"))
+    assert sorted(((r["classifier"] or "", r["line_no"], r["cv"]) for r in best.collect())) == [("", 1, 3.0), ("a", 6, 6.0), ("c", None, 5.0)]
+    assert "HashAggregate(keys=[classifier" in best._jdf.queryExecution().executedPlan().toString()
