@@ -75,3 +75,19 @@ def test_ids_far_apart(spark):
     assert got == folds_by_hand(rows, 5)
     df = stratified_folds(spark.createDataFrame(rows, "row_id long, label int"), 5)
     assert "Window [row_number" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_lines_follow_the_data(spark):
+    """No fixed number of files: with more parts a task writes and reads less."""
+    from pathlib import Path
+
+    from phrasemill.plans.queries import QUERIES
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before, merge = set(shared.glob("lines-*")), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        QUERIES["labelled_file_folds"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(merge)
+    (path,) = set(shared.glob("lines-*")) - before
+    assert len(list(path.glob("part-*"))) > 4
