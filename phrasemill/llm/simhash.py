@@ -33,18 +33,23 @@ TOGETHER = 256
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have, as a signed integer; 0 without any."""
+    hashes = hashes.astype(">u8")
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The fingerprint of a whole text, as a signed 64-bit integer; 0 without words."""
     words = _WORD.findall(text.encode().lower())  # bytes: only A-Z change
     if not words:
         return 0
-    n = max(len(words) - shingle + 1, 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(words[i:i + shingle]), SEED) for i in range(n)], dtype=">u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    return majority(np.array([digest(b" ".join(words[i:i + shingle]), SEED)
+                              for i in range(max(len(words) - shingle + 1, 1))], dtype=np.uint64))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:

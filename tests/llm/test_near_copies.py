@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from phrasemill.llm.near_copies import alike, near_copies, shingles
+from phrasemill.llm.near_copies import RADIUS, alike, near_copies, shingles
+from phrasemill.llm.simhash import majority
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -52,6 +53,20 @@ def test_alike():
     assert alike(np.concatenate(sets[::2]), offsets[[0, 1, 1]] + [0, 0, 8]).tolist() == [0, 0]  # 8 of 10, exactly 0.8
 
 
+def test_fingerprints():
+    """Only sets whose fingerprints a BK-tree finds are compared, and it finds those of similar sets."""
+    sets = [np.arange(10), np.arange(1, 10), np.arange(2, 10), np.arange(2, 10)]
+    offsets = np.cumsum([0, *map(len, sets)])
+    far = np.array([0, 1, 2**40 - 1, 2**40 - 1], dtype=np.int64)
+    assert alike(np.concatenate(sets), offsets, prints=far).tolist() == [0, 0, 2, 2]
+    assert alike(np.concatenate(sets), offsets, prints=far, radius=40).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(5)
+    for n in [5, 6, 9, 10, 20, 50, 333] * 40:
+        whole = rng.integers(0, 2**64, n, dtype=np.uint64)
+        some = whole[n // 5:]
+        assert (majority(whole) % 2**64 ^ majority(some) % 2**64).bit_count() <= RADIUS
+
+
 @pytest.mark.parametrize("crowd", [1000, 4])
 def test_all_pairs(spark, crowd):
     texts = copies(random.Random(7), 25)
