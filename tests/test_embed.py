@@ -3,6 +3,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from phrasemill.operators import embed
 from phrasemill.operators.embed import ConcatVectors, SumVectors, Words, concat_embedding, sum_embedding
 from phrasemill.operators.lookup import attach_vectors, known_words, token_stream, unknown_words
 from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_similarity, typed_pairs
@@ -47,6 +48,18 @@ def test_concat(spark, texts, vectors, budget, most):
     assert got == {i: joined(w, most) for i, w in TEXTS.items()}
 
 
+@pytest.mark.parametrize("budget", [1 << 20, 0])
+def test_concat_long_texts(spark, vectors, monkeypatch, budget):
+    """Known words far behind the beginning count, also of rows that share a key or have none; other texts are not read whole."""
+    rows = [(1, ["x"] * 50 + ["a", "b"]), (2, ["c"] * 500), (3, ["x"] * 9 + ["a"]), (3, ["b"] + ["x"] * 30 + ["c"]), (None, ["x"] * 40 + ["b"]), (4, ["x"] * 99)]
+    df = spark.createDataFrame(rows, "row_id long, words array<string>")
+    read = []
+    monkeypatch.setattr(embed, "token_stream", lambda texts, keep: read.append(token_stream(texts, keep)) or read[-1])
+    got = {r.row_id: r.features for r in concat_embedding(df, vectors, ["row_id"], max_words=2, budget=budget).collect()}
+    assert got == {1: joined(["a", "b"], 2), 2: joined(["c", "c"], 2), 3: joined(["b", "a"], 2), None: joined(["b"], 2), 4: [0.0] * 4}
+    assert read[0].count() <= 8 * len(rows) and all(r.where("row_id = 2").count() <= 8 for r in read)
+
+
 def test_lookup_keeps_every_token_both_ways(spark, vectors):
     # "a" holds a third of all tokens: it takes the way for common words when nothing fits.
     rows = spark.range(3000).select(F.col("id").alias("row_id"), F.when(
