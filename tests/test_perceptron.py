@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phrasemill.operators.perceptron import Network, Perceptron, Steps, Training, fold_hits, summed_gradient, trained, trained_wide
+from phrasemill.operators.perceptron import Network, Perceptron, Steps, Training, fold_hits, sliced, summed_gradient, trained, trained_together, trained_wide
 from phrasemill.plans import grid_search as gs
 from phrasemill.plans.classifiers import CLASSIFIERS, unsettled
 
@@ -96,3 +96,27 @@ def test_side_by_side(points):
     rows = found.orderBy("line_no").collect()
     assert len(rows) == 8 and all(r.cv > 90 for r in rows) and "'activation': 'relu', 'alpha': 0.001" in rows[-1].params
     assert rows[0].cv == rows[1].cv and told.count() == 2 and len(CLASSIFIERS["MLPAlgorithm"].grid) == 4
+
+
+def test_many_rows_side_by_side(points):
+    """Networks of all settings and folds over slices: one pass of tasks for all of them, and no fold sees its own rows."""
+    settings = [Training((6,), rate=0.02, tol=0.01, patience=2), Training((6,), "relu", 0.01, rate=0.02, tol=0.01, patience=2)]
+    got = fold_hits(points, 3, settings, "cv_fold", 4, local_bytes=0, slice_rows=100).collect()
+    assert {(r.setting, r.fold) for r in got} == {(s, f) for s in range(2) for f in range(4)} and len(got) == 8
+    assert all(r.n == 100 and r.hits > 85 and r.settled for r in got)
+    told = fold_hits(points, 3, [replace(settings[0], max_iter=1)], "cv_fold", 4, local_bytes=0).collect()
+    assert len(told) == 4 and not any(r.settled for r in told)
+
+
+def test_slices_are_averaged(points):
+    """One pass: each slice takes its own steps from the same weights, and the weights are averaged by rows."""
+    x, y = made()
+    how = Training((6,), max_iter=1, batch=50)
+    cut = lambda rows, part: sliced(rows.select("label", "vec", F.lit(part).alias("part")), 100)
+    (network, settled), = trained_together(cut(points, -1), 5, 3, [(how, None)])
+    start = Network.drawn(5, 3, how)
+    mean = lambda net: net.gradient(x, y)[0] / 400
+    assert not settled and mean(network) < mean(start)
+    (none, rested), (other, _) = trained_together(cut(points.where("label = 0"), 2), 5, 3, [(replace(how, max_iter=3), 2), (how, 1)])
+    assert not rested and all((a == b).all() for p, q in zip(none.layers, start.layers, strict=True) for a, b in zip(p, q, strict=True))
+    assert other.outputs(x)[-1].shape == (400, 3)
