@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from phrasemill.operators import embed
 from phrasemill.operators.embed import ConcatVectors, SumVectors, Words, concat_embedding, sum_embedding
 from phrasemill.operators.lookup import attach_vectors, known_words, token_stream, unknown_words
+from phrasemill.plans import score, tables
 from phrasemill.operators.similar import most_similar, neighbour_pairs, pair_similarity, typed_pairs
 from phrasemill.operators.words import coverage
 from phrasemill.sources.vectors import parse_vector_lines, read_text_vectors, vector_lines
@@ -109,3 +110,17 @@ def test_similarity(spark, vectors):
     assert list(got) == [("a", "b")] and got["a", "b"] == pytest.approx(-0.83205)
     texts = spark.createDataFrame([(["b", "a", "a", "b", "c"],), (["z"],)], "words array<string>")
     assert sorted(tuple(r) for r in neighbour_pairs(texts).collect()) == [("a", "b"), ("b", "c")]
+
+
+def test_text_points_tokenise_once(spark, monkeypatch, tmp_path):
+    """Vocabulary and text vectors come from the same stored word lists."""
+    spark.createDataFrame([(1, "b a a", "de"), (2, "a c", "en"), (None, "z", "fr"), (4, None, "es")], "doc_id long, text string, lang string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    calls = []
+    for place in (tables, score):
+        if hasattr(place, "tokenised"):
+            monkeypatch.setattr(place, "tokenised", lambda *a, held=place.tokenised: calls.append(1) or held(*a))
+    points, _ = tables.text_points(spark, str(tmp_path))
+    assert sorted((str(r.row_id), r.label, r.vec) for r in points.collect()) == [("1", 0, [2.5, 4.0]), ("2", 1, [1.0, 2.0]), ("None", 3, [0.0, 0.0])]
+    assert len(calls) == 1
