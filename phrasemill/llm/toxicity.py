@@ -16,6 +16,7 @@ rows; whole texts are scored.
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,8 @@ WINDOW_WORDS = 8
 WINDOW_BYTES = 400
 #: Texts with more characters are cut into strings piece by piece.
 LONG = 200_000
+#: Different strings that a task counts before it hands its counts on, besides those of one text.
+HELD = 200_000
 SHARED_BYTES = 64 << 10
 OWN_BYTES = 4 << 10
 #: Strings that tell the classes apart: characters, and standard errors between their rates.
@@ -89,6 +92,26 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield told(row, y, found)
 
 
+def _counts(batches: Iterable[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(s, o, t): in how many texts of either class a string is; a string comes again once ``held`` others were counted."""
+
+    def told(seen: tuple[collections.Counter, collections.Counter]) -> Iterator[pa.RecordBatch]:
+        for o, names in ((1, seen[0]), (0, seen[1])):
+            each = iter(names.items())
+            while part := list(itertools.islice(each, 50_000)):
+                n, none = pa.array([k for _, k in part], pa.int64()), pa.array([0] * len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.string()), *((n, none) if o else (none, n))], ["s", "o", "t"])
+
+    seen: tuple[collections.Counter, collections.Counter] = (collections.Counter(), collections.Counter())
+    for batch in batches:
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            seen[y].update(strings(text))
+            if len(seen[0]) + len(seen[1]) > held:
+                yield from told(seen)
+                seen = collections.Counter(), collections.Counter()
+    yield from told(seen)
+
+
 @dataclass
 class Dictionaries:
     """Content of the two dictionaries."""
@@ -211,21 +234,10 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     each = sample.filter(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_pieces, "row long, y int, s string").distinct()
     pieces = each.groupBy("s").agg(F.count_if(F.col("y") == 0).alias("o"), F.count_if(F.col("y") == 1).alias("t"))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[collections.Counter, collections.Counter] = (collections.Counter(), collections.Counter())
-        for batch in batches:
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                seen[y].update(strings(t))
-        names = list({*seen[0], *seen[1]})
-        for at in range(0, len(names), 50_000):
-            part = names[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(
-                pa.array([c[s] for s in part], pa.int64()) for c in seen)], ["s", "o", "t"])
-
     # At least five documents, and rates that differ by the error wanted.
     p = (F.col("o") + F.col("t")) / sum(n)
     z = (F.col("t") / n[1] - F.col("o") / n[0]) / F.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    far = written(sample.filter(~long).mapInArrow(count, "s string, o long, t long").unionByName(pieces).groupBy("s").agg(
+    far = written(sample.filter(~long).mapInArrow(_counts, "s string, o long, t long").unionByName(pieces).groupBy("s").agg(
         F.sum("o").alias("o"), F.sum("t").alias("t")).filter((F.col("o") + F.col("t") >= 5) & (F.abs(z) >= APART)), "telling")
     # Strings that are always part of the same longer one say nothing of their own.
     parts = far.filter(F.length("s") > STRING[0]).select(F.explode(F.array(

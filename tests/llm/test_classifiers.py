@@ -1,6 +1,9 @@
 """Quality and toxicity: held-out accuracy, what they read, and odd rows; parts against plain versions."""
 
+import collections
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,28 @@ def test_every_string_is_learnt(spark, monkeypatch, long):
     assert score[1] > score[2]
 
 
+def test_strings_are_counted_in_bounded_memory():
+    """Counts are handed on in parts that add up to those of a single pass, however many strings a task meets."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(8)) for _ in range(60)]
+    rows = [(t, i % 2) for i, t in enumerate(texts)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([y for _, y in part], pa.int32())], ["text", "y"])
+               for part in (rows[:25], rows[25:25], rows[25:])]
+    most = max(len(toxicity.strings(t)) for t in texts)
+    got, sizes = collections.defaultdict(lambda: [0, 0]), []
+    seen = iter(batches)
+    next(toxicity._counts(seen, held=500))
+    assert next(seen, None) is not None  # handed on before all batches were read
+    for part in toxicity._counts(batches, held=500):
+        sizes.append(part.num_rows)
+        for s, o, t in zip(*(part.column(c).to_pylist() for c in ("s", "o", "t")), strict=True):
+            got[s][0] += o
+            got[s][1] += t
+    assert max(sizes) <= 500 + most and len(got) > 4 * (500 + most)
+    plain = [collections.Counter(s for t, y in rows if y == k for s in toxicity.strings(t)) for k in (0, 1)]
+    assert dict(got) == {s: [c[s] for c in plain] for s in {*plain[0], *plain[1]}}
+
+
 def test_telling_strings():
     counts = {" bad ": (1, 50), "bad": (2, 50), " the ": (90, 95), "ba": (30, 60)}
     assert toxicity.telling(counts, (100, 100)) == ([(" bad ", 51)], [])
