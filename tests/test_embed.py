@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -124,3 +127,23 @@ def test_text_points_tokenise_once(spark, monkeypatch, tmp_path):
     points, _ = tables.text_points(spark, str(tmp_path))
     assert sorted((str(r.row_id), r.label, r.vec) for r in points.collect()) == [("1", 0, [2.5, 4.0]), ("2", 1, [1.0, 2.0]), ("None", 3, [0.0, 0.0])]
     assert len(calls) == 1
+
+
+def test_pair_similarity_runs_no_code_too_large_to_compile(spark, capsys):
+    """The JVM interprets methods beyond 8,000 bytes; a sum of products written out for every pair was one."""
+    rng = np.random.default_rng(4)
+    vecs = {w: [float(x) for x in rng.normal(size=64)] for w in "abc"}
+    vectors = spark.createDataFrame([*vecs.items(), ("d", [1.0] * 63 + [None]), ("e", None)], "word string, vec array<float>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = pair_similarity(typed_pairs(spark, list("abcde")), vectors)
+        out.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+    got = {r.w1 + r.w2: r.similarity for r in out.collect()}
+    assert len(got) == 10 and all(got[p] is None for p in got if set(p) & set("de"))
+    for p in ("ab", "ac", "bc"):
+        x, y = (np.array(vecs[w], dtype=np.float32).astype(float) for w in p)
+        assert got[p] == pytest.approx(x @ y / np.sqrt((x @ x) * (y @ y)), abs=2e-6)
