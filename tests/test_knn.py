@@ -109,6 +109,28 @@ def test_nearest_in_strips(p, monkeypatch):
             assert np.isin(near, may).all()
 
 
+@pytest.mark.parametrize("p", [1, 3, 8, 8.5, 9, 20, 50])
+@pytest.mark.parametrize("off,unit", [(0, 1), (50, 1), (0, 1e-6), (3000, 100)])
+def test_rough_values_leave_few_rows(p, off, unit, monkeypatch):
+    """As all distances tell, for high powers too, where gaps vanish or are large, but of few rows exact ones are taken."""
+    monkeypatch.setattr(knn, "STRIP", 1)
+    monkeypatch.setattr(knn, "LONG", 500)
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([rng.normal(size=(3000, 8)) * unit + off, np.repeat(rng.normal(size=(1, 8)) * unit + off, 40, axis=0),
+                           rng.integers(0, 3, (100, 8)) * unit * 1e-3 + off])
+    across, points, aparts = np.ascontiguousarray(rows.T), rows[::97], np.arange(len(rows)) % 3
+    taken, plain = [], knn.distances
+    monkeypatch.setattr(knn, "distances", lambda a, *rest: taken.append(a.shape[1]) or plain(a, *rest))
+    for of in (None, aparts[::97]):
+        taken.clear()
+        got = knn.nearest(across, points, 12, p, aparts, of)
+        assert unit < 1 or np.mean(taken) < len(rows) / 4
+        with monkeypatch.context() as m:
+            m.setattr(knn, "_plain", lambda *a: False)
+            want = knn.nearest(across, points, 12, p, aparts, of)
+        assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(got, want, strict=True))
+
+
 def test_a_query_meets_a_block_once():
     """Where nothing can be left out, a row is copied once for each full block and not once for each cell."""
     rng = np.random.default_rng(2)
